@@ -96,21 +96,47 @@ def find_contamination(
     item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Per document row: its id, n_words, n_hit, items (sorted strings) and spans (character offsets of covered runs)."""
-    spark = docs.sparkSession
-    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-int(total * 1.25) // block_bytes)) if total > block_bytes else 1
+    shared = _blocks(items, item_col, item_text_col, block_bytes)
     out = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
         F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"),
     )
-    for b in range(blocks):
-        part = items if blocks == 1 else items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([tuple(r) for r in part.distinct().collect()])
-        out = _scan_block(out, shared, window, b == blocks - 1)
+    for b, block in enumerate(shared):
+        out = _scan_block(out, block, window, b == len(shared) - 1)
     return out.withColumnRenamed("id", id_col)
 
 
+def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list:
+    """The items as broadcasts of about ``block_bytes`` at most each."""
+    items = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
+    total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    n = max(1, -(-int(total * 1.25) // block_bytes)) if total > block_bytes else 1
+    parts = [items if n == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == b) for b in range(n)]
+    return [items.sparkSession.sparkContext.broadcast([tuple(r) for r in part.distinct().collect()]) for part in parts]
+
+
+def without_contaminated(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+    window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows whose text holds no window of any item. Columns as before."""
+    for block in _blocks(items, item_col, item_text_col, block_bytes):
+        docs = docs.filter(_clean(block, window)(F.col(text_col).cast("string")))
+    return docs
+
+
+def _clean(block, window: int):
+    made: dict[str, object] = {}
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        if "trie" not in made:
+            made["trie"] = automaton(block.value, window)
+        return pd.Series([not scan(made["trie"], words_of(t))[0].any() for t in texts], dtype=bool)
+
+    return clean
+
+
 def _scan_block(df: DataFrame, shared, window: int, last: bool) -> DataFrame:
     kind = df.schema["id"].dataType.simpleString()
     made: dict[str, object] = {}

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from claimgraph.llm import decontaminate, packing, substrings
+from claimgraph.llm import decontaminate, language, near_duplicates, packing, substrings
 
 
 def queries() -> dict:
     return {
         "op5_decontamination": decontaminate.op5_decontamination,
+        "op6_language": language.op6_language,
         "op7_substring_dedup": substrings.op7_substring_dedup,
         "op8_packing": packing.op8_packing,
+        "op10_near_duplicates": near_duplicates.op10_near_duplicates,
     }
 
 
