@@ -43,14 +43,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Stage:
-    """A table written into the shared folder and read back: it cuts lineage and survives lost executors."""
+    """A table written into the shared folder and read back: it cuts lineage and survives lost executors.
 
-    def __init__(self, df: DataFrame, name: str, partition_by: str | None = None):
+    The write's own shuffle files go as soon as it is done; they would else wait for the driver's garbage collector.
+    """
+
+    def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
         self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd")
-        (writer.partitionBy(partition_by) if partition_by else writer).parquet(self.path)
+        before = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(self.path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         self.df = self.spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
@@ -58,26 +68,6 @@ class Stage:
         drop_path(self.spark, self.path)
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of plans that are done."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def bucket_of(id_col: str, mod: int) -> Column:
     """crc32(id as text) mod ``mod``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(mod)
-
-
-def chunks(values, sizes, most: int):
-    """Slices of ``values`` of about ``most`` total size each, at least one value a slice."""
-    start = total = 0
-    for i, n in enumerate(sizes):
-        if total and total + n > most:
-            yield start, i
-            start, total = i, 0
-        total += n
-    if start < len(values):
-        yield start, len(values)

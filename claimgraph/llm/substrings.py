@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimgraph.llm.common import Stage, free_shuffles, table
+from claimgraph.llm.common import Stage, table
 
 WINDOW = 20
 ANCHOR = 8
@@ -102,7 +102,6 @@ def remove_repeats(
 
     ``kept`` is null where nothing was removed, so that callers keep the original text there.
     """
-    spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     base = base.withColumn("ord", F.coalesce("id", F.lit(_LAST))).withColumn("t", F.xxhash64("text"))
 
@@ -119,7 +118,8 @@ def remove_repeats(
             yield pd.DataFrame({"id": pdf["id"], "ord": pdf["ord"], "t": pdf["t"], **out})
 
     schema = "id long, ord long, t long, n_words int, sha string, md binary, g array<long>, lo array<int>, hi array<int>"
-    rows = Stage(base.mapInPandas(first_pass, schema), "anchors").df
+    anchors_stage = Stage(base.mapInPandas(first_pass, schema), "anchors")
+    rows = Stage(anchors_stage.df.select("id", "ord", "t", "n_words", "sha", "md"), "rows").df
 
     # Later exact copies (same words): settled here.
     long_rows = rows.filter(F.col("n_words") >= window)
@@ -127,13 +127,12 @@ def remove_repeats(
     copies = long_rows.select("ord", "t", "md").join(firsts, "md").filter("ord > first").select("ord", "t").distinct()
     copies = Stage(copies, "copies").df
 
-    anchors = long_rows.join(copies, ["ord", "t"], "left_anti").selectExpr("ord", "t", "inline(arrays_zip(g, lo, hi))")
+    anchors = anchors_stage.df.filter(F.col("n_words") >= window).join(copies, ["ord", "t"], "left_anti").selectExpr("ord", "t", "inline(arrays_zip(g, lo, hi))")
     repeated = anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
     ranges = anchors.join(repeated, "g").groupBy("ord", "t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     texts = base.filter(F.octet_length("text") >= 2 * window - 1).select("ord", "t", "text")
-    suspects_stage = Stage(texts.join(ranges, ["ord", "t"]).dropDuplicates(["ord", "t"]), "suspects")
-    suspects = suspects_stage.df
-    free_shuffles(spark)
+    suspects = Stage(texts.join(ranges, ["ord", "t"]).dropDuplicates(["ord", "t"]), "suspects").df
+    anchors_stage.drop()
 
     def windows(batches):
         rolling = Rolling()
@@ -174,6 +173,14 @@ def remove_repeats(
     return out if with_text else out.drop("text_key", "kept")
 
 
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with repeated windows cut from their texts (kept words joined by one space where any went). Columns as before."""
+    cuts = remove_repeats(docs, id_col, text_col, with_text=True).filter("kept IS NOT NULL")
+    cuts = cuts.select(F.coalesce(id_col, F.lit(_LAST)).alias("_o"), F.col("text_key").alias("_t"), F.col("kept").alias("_kept")).dropDuplicates(["_o", "_t"])
+    keyed = docs.withColumn("_o", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn("_t", F.xxhash64(F.col(text_col).cast("string")))
+    return keyed.join(cuts, ["_o", "_t"], "left").withColumn(text_col, F.coalesce("_kept", text_col)).select(*docs.columns)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"))
 
