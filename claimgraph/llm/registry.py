@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from claimgraph.llm import decontaminate, language, near_duplicates, packing, substrings
+from claimgraph.llm import chat, decontaminate, htmltext, language, near_duplicates, packing, substrings, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_html_text": htmltext.op2_html_text,
+        "op4_perspectives": chat.op4_perspectives,
         "op5_decontamination": decontaminate.op5_decontamination,
         "op6_language": language.op6_language,
         "op7_substring_dedup": substrings.op7_substring_dedup,
@@ -17,4 +20,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """Operators that SQL can't express have none: their tests hold them against brute force."""
-    return {"op5_decontamination": decontaminate.SQL, "op7_substring_dedup": substrings.SQL}
+    return {"op4_perspectives": chat.SQL, "op5_decontamination": decontaminate.SQL, "op7_substring_dedup": substrings.SQL}
