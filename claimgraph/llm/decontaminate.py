@@ -98,12 +98,12 @@ def find_contamination(
     """Per document row: its id, n_words, n_hit, items (sorted strings) and spans (character offsets of covered runs)."""
     shared = _blocks(items, item_col, item_text_col, block_bytes)
     out = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"),
+        F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"),
         F.lit(None).cast("array<int>").alias("hits"), F.lit(None).cast("array<string>").alias("items"),
     )
     for b, block in enumerate(shared):
         out = _scan_block(out, block, window, b == len(shared) - 1)
-    return out.withColumnRenamed("id", id_col)
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def _blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list:
@@ -138,7 +138,6 @@ def _clean(block, window: int):
 
 
 def _scan_block(df: DataFrame, shared, window: int, last: bool) -> DataFrame:
-    kind = df.schema["id"].dataType.simpleString()
     made: dict[str, object] = {}
 
     def run(batches):
@@ -162,9 +161,9 @@ def _scan_block(df: DataFrame, shared, window: int, last: bool) -> DataFrame:
 
     if last:
         names = ["id", "n_words", "n_hit", "items", "spans"]
-        return df.mapInPandas(run, f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
+        return df.mapInPandas(run, "id string, n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>")
     names = ["id", "text", "hits", "items"]
-    return df.mapInPandas(run, f"id {kind}, text string, hits array<int>, items array<string>")
+    return df.mapInPandas(run, "id string, text string, hits array<int>, items array<string>")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

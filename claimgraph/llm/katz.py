@@ -144,8 +144,7 @@ def _ask(rows: list) -> pd.DataFrame:
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, keys_a_bucket: int = KEYS_A_BUCKET) -> DataFrame:
     """Per row: id, held_out (not ``train``), n_tokens, n_known, train_tokens, base_score, score."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
-    kind = rows.schema["id"].dataType.simpleString()
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     chunks = max(1, ((size[0] or 0) + size[1]) // chunk_bytes)
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1, (size[0] or 0) / 6 / keys_a_bucket)))))
@@ -240,8 +239,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         })
 
     every = counts.unionByName(weights).groupBy("chunk")
-    schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(every).applyInPandas(judge, schema).withColumnRenamed("id", id_col)
+    schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return rows.groupBy("chunk").cogroup(every).applyInPandas(judge, schema).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

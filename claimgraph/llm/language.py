@@ -117,8 +117,12 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ranks
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", ranks: int = RANKS) -> DataFrame:
     """``docs`` with lang_pred and score; all its columns are kept (and must not have these names)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((profiles, ranks))
+    judge = _judge(docs, profiles, ranks)
+    return docs.withColumn("_judged", judge(F.col(text_col).cast("string"))).select(*docs.columns, "_judged.lang_pred", "_judged.score")
+
+
+def _judge(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int):
+    shared = docs.sparkSession.sparkContext.broadcast((profiles, ranks))
     made: list[Profiles] = []
 
     @F.pandas_udf("lang_pred string, score double")
@@ -127,7 +131,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "
             made.append(Profiles(*shared.value))
         return pd.DataFrame([made[0].predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_judged", judge(F.col(text_col).cast("string"))).select(*docs.columns, "_judged.lang_pred", "_judged.score")
+    return judge
 
 
 def training_rows(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -143,5 +147,5 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows whose text has a language: those without letters go. Columns as before."""
-    judged = identify(docs.select(*docs.columns), learn(training_rows(docs, id_col), text_col, lang_col), text_col)
-    return judged.filter("lang_pred <> 'und'").select(*docs.columns)
+    judge = _judge(docs, learn(training_rows(docs, id_col), text_col, lang_col), RANKS)
+    return docs.withColumn("_judged", judge(F.col(text_col).cast("string"))).filter("_judged.lang_pred <> 'und'").drop("_judged")

@@ -12,7 +12,7 @@ in a bucket with probability over 0.9999. Classes are the connected components o
 Exact copies are settled before by a count of text hashes and take part once.
 
 Defined cases: null, empty and wordless texts are alone in their class; repeated rows (also rows that share an id)
-share a class; a null id gets a place in its class and no say in its name; an empty table gives no rows; extra
+share a class; a null id gets a place in its class and no say in its name; the largest 2**40 longs are no ids; an empty table gives no rows; extra
 columns are ignored; texts of any length are used whole.
 """
 
@@ -133,9 +133,9 @@ def _sketches(base: DataFrame) -> DataFrame:
                 key = np.frombuffer(xxhash.xxh3_128_digest(b" ".join(words)), np.int64)
                 for k, v in zip(out, (key[0], key[1], len(x), omh, marks)):
                     out[k].append(v)
-            yield pd.DataFrame({"id": pdf["id"], "ord": pdf["ord"], **out})
+            yield pd.DataFrame({"ord": pdf["ord"], **out})
 
-    return base.mapInPandas(run, "id long, ord long, k1 long, k2 long, n int, omh array<long>, marks array<int>")
+    return base.drop("id").mapInPandas(run, "ord long, k1 long, k2 long, n int, omh array<long>, marks array<int>")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -216,9 +216,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             active = Stage(active.select("node", "score", pair.alias("key")).distinct(), "active").df
 
     named = rows.join(same.withColumnRenamed("node", "rep"), ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("ord")))
-    named = named.select("id", "node").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))
-    unnamed_class = F.col("class_id") > F.lit(_LAST - 2**40)
-    return named.select(F.col("id").alias(id_col), F.when(unnamed_class, F.lit(None)).otherwise(F.col("class_id")).cast("long").alias("class_id"))
+    named = named.select("ord", "node").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))
+    known = lambda c: F.when(F.col(c) <= F.lit(_LAST - 2**40), F.col(c))
+    return named.select(known("ord").cast(docs.schema[id_col].dataType).alias(id_col), known("class_id").alias("class_id"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -71,7 +71,6 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, json_path, ranks_path) -> DataFrame:
-    kind = docs.schema[id_col].dataType.simpleString()
     made: list = []
 
     def run(batches):
@@ -86,8 +85,8 @@ def pieces_of(docs: DataFrame, id_col: str, text_col: str, capacity: int, end_id
             out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInPandas(run, f"id {kind}, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInPandas(run, "id string, piece int, start long, length long, ids_crc32 long")
 
 
 # A plan: {sorted tuple of lengths: number of bins that hold exactly these}.
@@ -232,9 +231,8 @@ def pack(
             yield pdf.drop(columns="rank").assign(sequence_id=s["seq"][at] + r % s["bins"][at], offset=s["offset"][at] + r // s["bins"][at] * length)
 
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank")
-    kind = pieces.schema["id"].dataType.simpleString()
-    out = ranked.mapInPandas(place, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
-    return out.withColumnRenamed("id", id_col)
+    out = ranked.mapInPandas(place, "id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

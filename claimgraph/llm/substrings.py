@@ -13,7 +13,7 @@ shuffle, and joins on a hot anchor or window are ones that Spark can split.
 All windows of a later exact copy start earlier in the first copy, so later copies are settled by a count of text hashes.
 
 Defined cases: null, empty and short texts have no windows and lose nothing; a row with a null id counts as after all
-others; rows that repeat an id are one document for the order, so a repeated row loses nothing to its twin; an empty
+others; the largest long is no id; rows that repeat an id are one document for the order, so a repeated row loses nothing to its twin; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -115,11 +115,11 @@ def remove_repeats(
                 joined = b" ".join(words)
                 for k, v in zip(out, (len(words), hashlib.sha256(joined).hexdigest(), hashlib.md5(joined).digest(), g, lo, hi)):
                     out[k].append(v)
-            yield pd.DataFrame({"id": pdf["id"], "ord": pdf["ord"], "t": pdf["t"], **out})
+            yield pd.DataFrame({"ord": pdf["ord"], "t": pdf["t"], **out})
 
-    schema = "id long, ord long, t long, n_words int, sha string, md binary, g array<long>, lo array<int>, hi array<int>"
-    anchors_stage = Stage(base.mapInPandas(first_pass, schema), "anchors")
-    rows = Stage(anchors_stage.df.select("id", "ord", "t", "n_words", "sha", "md"), "rows").df
+    schema = "ord long, t long, n_words int, sha string, md binary, g array<long>, lo array<int>, hi array<int>"
+    anchors_stage = Stage(base.drop("id").mapInPandas(first_pass, schema), "anchors")
+    rows = Stage(anchors_stage.df.select("ord", "t", "n_words", "sha", "md"), "rows").df
 
     # Later exact copies (same words): settled here.
     long_rows = rows.filter(F.col("n_words") >= window)
@@ -164,10 +164,10 @@ def remove_repeats(
 
     changed = suspects.select("ord", "t", "text").join(starts, ["ord", "t"]).mapInPandas(cut, "ord long, t long, removed int, new_sha string, kept string")
     gone = copies.selectExpr("ord", "t", "-1 AS removed", f"'{_digest([])}' AS new_sha", "'' AS kept")
-    out = rows.select("id", "ord", "t", "n_words", "sha").join(changed.unionByName(gone), ["ord", "t"], "left")
+    out = rows.select("ord", "t", "n_words", "sha").join(changed.unionByName(gone), ["ord", "t"], "left")
     removed = F.when(F.col("removed") < 0, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0)))
     out = out.select(
-        F.col("id").alias(id_col), F.col("n_words").cast("long").alias("n_words"), removed.cast("long").alias("n_removed"),
+        F.when(F.col("ord") < _LAST, F.col("ord")).cast(docs.schema[id_col].dataType).alias(id_col), F.col("n_words").cast("long").alias("n_words"), removed.cast("long").alias("n_removed"),
         F.coalesce("new_sha", "sha").alias("kept_sha256"), F.col("t").alias("text_key"), "kept",
     )
     return out if with_text else out.drop("text_key", "kept")
@@ -178,7 +178,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = remove_repeats(docs, id_col, text_col, with_text=True).filter("kept IS NOT NULL")
     cuts = cuts.select(F.coalesce(id_col, F.lit(_LAST)).alias("_o"), F.col("text_key").alias("_t"), F.col("kept").alias("_kept")).dropDuplicates(["_o", "_t"])
     keyed = docs.withColumn("_o", F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST))).withColumn("_t", F.xxhash64(F.col(text_col).cast("string")))
-    return keyed.join(cuts, ["_o", "_t"], "left").withColumn(text_col, F.coalesce("_kept", text_col)).select(*docs.columns)
+    return keyed.join(cuts, ["_o", "_t"], "left").withColumn(text_col, F.coalesce("_kept", text_col)).drop("_o", "_t", "_kept")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
