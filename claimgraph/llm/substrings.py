@@ -128,7 +128,8 @@ def remove_repeats(
     copies = Stage(copies, "copies").df
 
     anchors = anchors_stage.df.filter(F.col("n_words") >= window).join(copies, ["ord", "t"], "left_anti").selectExpr("ord", "t", "inline(arrays_zip(g, lo, hi))")
-    repeated = anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g")
+    # Written first, so that the join deals both sides out itself and Spark can split a hot key; so for the windows below.
+    repeated = Stage(anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "repeated").df
     ranges = anchors.join(repeated, "g").groupBy("ord", "t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     texts = base.filter(F.octet_length("text") >= 2 * window - 1).select("ord", "t", "text")
     suspects = Stage(texts.join(ranges, ["ord", "t"]).dropDuplicates(["ord", "t"]), "suspects").df
@@ -147,7 +148,7 @@ def remove_repeats(
 
     hashed = suspects.mapInPandas(windows, "h1 long, h2 long, ord long, t long, s int")
     first = F.min(F.struct("ord", "s")).alias("first")
-    seen = hashed.groupBy("h1", "h2").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n")
+    seen = Stage(hashed.groupBy("h1", "h2").agg(first, F.count("*").alias("n")).filter("n > 1").drop("n"), "windows").df
     later = hashed.join(seen, ["h1", "h2"]).filter(F.struct("ord", "s") > F.col("first"))
     starts = later.groupBy("ord", "t").agg(F.collect_list("s").alias("starts"))
 
