@@ -5,7 +5,8 @@ Shingles carry their occurrence number. Each of ``FUNCTIONS`` hash functions sam
 shingles and keeps them in text order, so two texts agree on a function if they share these shingles and their order.
 Texts that agree on a function share a bucket. Within a bucket texts are compared with a leader, not in pairs: first
 with the text that meets most others, then what is not yet joined with a second leader, and what is left is dealt
-anew into buckets of two functions at once and compared there. A candidate is verified by banded alignment of both
+anew into buckets of two functions at once and compared there. Then each bucket that still holds more than one component is
+settled whole: every text outside its largest component meets every text of the bucket in another component. A candidate is verified by banded alignment of both
 shingle sequences: a link needs m / (n1 + n2 - m) >= 0.8 with m the shingles aligned in order. At 0.8 a pair meets
 in a bucket with probability over 0.9999. Classes are the connected components of the links.
 
@@ -32,6 +33,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 FUNCTIONS = 16
 KEPT = 3
+OPEN_ROWS = 256
 _LAST = 2**63 - 1
 
 
@@ -181,6 +183,26 @@ def _unjoined(led: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame
     return rest.join(members, ["key", "node"])
 
 
+def _open_pairs(members: DataFrame, comps: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
+    """(node, leader): all pairs of a bucket that lie in two components and whose sizes leave the similarity possible.
+
+    Only texts outside their bucket's largest component are listed with others. Large buckets are cut by a salt.
+    """
+    placed = members.join(comps, "node", "left").join(sizes, "node").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
+    placed = Stage(placed, "placed").df
+    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts"))
+    parts = parts.filter("parts > 1").select("key", "most", F.ceil(F.col("size") / OPEN_ROWS).cast("int").alias("salts"))
+    placed = Stage(placed.join(parts, "key"), "placed").df
+    small = placed.filter("comp <> most").select("key", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "n", "comp")
+    every = placed.select(
+        "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("leader"), F.col("n").alias("m"), F.col("comp").alias("other"),
+        (F.col("comp") == F.col("most")).alias("large"),
+    )
+    fits = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.col("comp") != F.col("other")) & (F.col("large") | (F.col("node") < F.col("leader")))
+    return small.join(every, ["key", "salt"]).filter(fits).select("node", "leader")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: its id and ``class_id``, the smallest id of its class (the row's own id if it is alone)."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -214,6 +236,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             active = active.join(other, "node").filter("key <> other")
             pair: Column = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
             active = Stage(active.select("node", "score", pair.alias("key")).distinct(), "active").df
+    rest = Stage(_open_pairs(members, comps, marks.select("node", "n"), similarity).distinct(), "open").df
+    new = _verified(_likely(rest, marks, similarity), texts, similarity)
+    comps = Stage(components(Stage(links.unionByName(new), "links").df), "components").df
 
     named = rows.join(same.withColumnRenamed("node", "rep"), ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("ord")))
     named = named.select("ord", "node").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))

@@ -293,3 +293,13 @@ def test_empty_tables(spark):
     assert toxicity.score(none.select("text"), model).count() == 0
     assert chat.rotate(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
     assert htmltext.extract(spark.createDataFrame([], "html string")).count() == 0
+
+
+def test_a_drifting_chain_is_one_class(spark):
+    rng = random.Random(41)
+    text, rows = [f"w{rng.randrange(10**9)}" for _ in range(80)], []
+    for i in range(1200):
+        rows.append((i, " ".join(text), "en"))
+        text[(i * 7 + 11) % 80] = f"w{rng.randrange(10**9)}"
+    classes = Counter(r["class_id"] for r in near_duplicates.near_duplicates(frame(spark, rows)).collect())
+    assert classes == {0: 1200}
