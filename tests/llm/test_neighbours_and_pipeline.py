@@ -101,3 +101,32 @@ def test_equals_sql(spark, name):
     columns = sorted(want.columns)
     rows = lambda pdf: sorted(map(str, pdf[columns].itertuples(index=False, name=None)))
     assert sorted(got.columns) == columns and rows(got) == rows(want)
+
+
+def _true_share(spark, x, asked, batch=None):
+    """The share of the ten nearest by brute force that the operator finds for the rows ``asked``."""
+    table = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        if batch:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        found = neighbours.nearest(table, spark.createDataFrame([(i,) for i in asked], "row long")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    got: dict = {}
+    for r in found:
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    y, hits = x.astype(np.float64), 0
+    for q in asked:
+        d = ((y - y[q]) ** 2).sum(1)
+        near = [int(i) for i in np.lexsort((np.arange(len(y)), d)) if i != q][:10]
+        hits += len(set(near) & got.get(q, set()))
+    return hits / (10 * len(asked))
+
+
+def test_a_vector_alone_in_its_cells_has_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = (np.r_[[10.0], np.zeros(15)] + 0.01 * rng.standard_normal((1200, 16))).astype(np.float32)
+    x[[100, 200]] = np.array([[-9.0] + [3.0] * 15, [-9.0] + [-3.0] * 15], np.float32)  # far off the narrow cone
+    monkeypatch.setattr(neighbours.build, "__defaults__", (*neighbours.build.__defaults__[:4], 8, neighbours.build.__defaults__[5]))
+    assert _true_share(spark, x, [100, 200]) >= 0.9
