@@ -130,3 +130,31 @@ def test_a_vector_alone_in_its_cells_has_neighbours(spark, monkeypatch):
     x[[100, 200]] = np.array([[-9.0] + [3.0] * 15, [-9.0] + [-3.0] * 15], np.float32)  # far off the narrow cone
     monkeypatch.setattr(neighbours.build, "__defaults__", (*neighbours.build.__defaults__[:4], 8, neighbours.build.__defaults__[5]))
     assert _true_share(spark, x, [100, 200]) >= 0.9
+
+
+def _graph_share(spark, x, batch):
+    """The share of the ten nearest by brute force that lead the lists of the neighbour graph."""
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+        vectors = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "id long, e array<float>")
+        lists: dict = {}
+        for r in neighbours.build(vectors).collect():
+            lists.setdefault(r["id"], []).append((r["d"], r["nb"]))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    y, hits, asked = x.astype(np.float64), 0, range(0, len(x), 40)
+    for q in asked:
+        d = ((y - y[q]) ** 2).sum(1)
+        near = [int(i) for i in np.lexsort((np.arange(len(y)), d)) if i != q][:10]
+        hits += len(set(near) & {nb for _, nb in sorted(lists.get(q, []))[:10]})
+    return hits / (10 * len(asked))
+
+
+@pytest.mark.parametrize("kind", ["outlier", "offset", "tiny"])
+def test_the_graph_keeps_the_vectors_scale(spark, kind):
+    x = np.random.default_rng(6).standard_normal((1200, 16)).astype(np.float32)
+    if kind == "outlier":
+        x[7] = 1e7
+    x = {"offset": 500 + 0.1 * x, "tiny": x * np.float32(1e-25)}.get(kind, x).astype(np.float32)
+    assert _graph_share(spark, x, 100) >= 0.95
