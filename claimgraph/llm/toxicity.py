@@ -34,7 +34,6 @@ TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1500, 6000, 48_000_000
 DICTIONARY = 32768
 TYPICAL = 8192
 LEVEL = 3
-CONTEXTS = 200
 _GAPS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -90,7 +89,7 @@ def typical_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list
     contexts: dict[bytes, set] = {w: set() for w in likely}
     for words in toxic:
         for i, w in enumerate(words):
-            if w in likely and len(contexts[w]) < CONTEXTS:
+            if w in likely:
                 contexts[w].add((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""))
     found = [w for w in likely if len(contexts[w]) >= least and len(contexts[w]) * scale >= 20 * (usual[w] + 0.5)]
     return sorted(found, key=lambda w: (len(contexts[w]), seen[w], w))

@@ -303,3 +303,10 @@ def test_a_drifting_chain_is_one_class(spark):
         text[(i * 7 + 11) % 80] = f"w{rng.randrange(10**9)}"
     classes = Counter(r["class_id"] for r in near_duplicates.near_duplicates(frame(spark, rows)).collect())
     assert classes == {0: 1200}
+
+
+def test_common_toxic_words_are_typical():
+    rng = random.Random(17)
+    toxic = [[b"p%d" % rng.randrange(10**6), *([b"zorkel"] if i < 1000 else []), b"q%d" % rng.randrange(10**6)] for i in range(1500)]
+    ordinary = [[b"r%d" % i, *([b"zorkel"] if i < 60 else [])] for i in range(6000)]
+    assert toxicity.typical_words(toxic, ordinary) == [b"zorkel"]
