@@ -9,7 +9,8 @@ The pages carry no labels, so the model is trained on generated pages of many la
 (``examples``, with a fixed seed); it learns what attribute tokens say from the same pages.
 
 Defined cases: null and empty html give an empty text; so does a page without text; broken markup is read as far as it
-goes (unclosed elements end with their parent, an unfinished tag at the end is dropped); ``script``, ``style`` and the like are
+goes (unclosed elements end with their parent, an unclosed ``video``, ``select`` and the like at the next block's tag if that
+comes first, an unclosed ``script``, ``style``, ``iframe`` or ``textarea`` with the page, as in HTML, an unfinished tag at the end is dropped); ``script``, ``style`` and the like are
 never text; white space inside a block, line breaks too, becomes one space; blocks are joined by two line feeds;
 repeated rows are read alike; a null id is kept; extra columns are ignored; an empty table gives no rows.
 """
@@ -19,6 +20,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -35,6 +37,7 @@ _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 _SILENT = frozenset("script style noscript template svg head title iframe object math canvas video audio select textarea datalist".split())
+_RAW = frozenset("script style iframe textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = frozenset(
     "html body div section article main header footer nav aside p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th "
@@ -68,10 +71,18 @@ def _tokens(attributes: str) -> tuple:
                 if "none" in value and "display" in value:
                     out.append("hidden")
             else:
-                out += [t.lower() for t in _TOKEN.findall(value)[:24]]
+                out += [t.lower() for t in _TOKEN.findall(value)]
     return tuple(out)
 
 
+def _next_block(page: str, at: int) -> int:
+    """Where the next block's tag (its parent's end, too) begins, or the page's end."""
+    for m in _MARKUP.finditer(page, at):
+        if m[2] and m[4] and m[2].lower() in _BLOCKS:
+            return m.start()
+    return len(page)
+
+
 def parse(page: str) -> list[Node]:
     """All nodes in page order, the root first; leaves have the tag ``#text``."""
     root = Node("html", None)
@@ -113,10 +124,10 @@ def parse(page: str) -> list[Node]:
                 end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
                 if end:
                     at = end.end()
-                elif tag in ("head", "title"):
-                    pass  # never closed: what follows may be the page
-                else:
+                elif tag in _RAW:
                     at = n
+                elif tag not in ("head", "title"):  # never closed: what follows may be the page
+                    at = _next_block(page, at)
             parts.append(" ")
         elif tag == "a":
             in_link = not closing
@@ -170,6 +181,7 @@ def features(nodes: list[Node], says: dict[str, float]) -> np.ndarray:
     x = np.zeros((len(nodes), FEATURES))
     total = max(1, nodes[0].s[0])
     said: dict[int, tuple] = {}
+    tags_of: dict[int, Counter] = {}
     for i, node in enumerate(nodes):
         chars, linked, words, stops, leaves, tags, long_words, prose, forms = node.s
         own = [says.get(t, 0.0) for t in (*node.tokens, "<" + node.tag)]
@@ -178,12 +190,14 @@ def features(nodes: list[Node], says: dict[str, float]) -> np.ndarray:
         said[id(node)] = (min(up[0], low), max(up[1], high), up[2] + (low < -0.7))
         parent = node.parent or node
         kids = parent.kids if node.parent is not None else [node]
+        if node.parent is not None and id(parent) not in tags_of:
+            tags_of[id(parent)] = Counter(k.tag for k in kids)
         around = parent.s
         x[i] = (
             node.depth, np.log1p(chars), linked / max(1, chars), np.log1p(words / max(1, leaves)), stops / max(1, words), np.log1p(leaves),
             chars / max(1, tags + leaves), chars / total, i / len(nodes), low, high, up[0], up[1], up[2],
             chars / max(1, around[0]), np.log1p(len(kids)), np.log1p(around[0]), around[1] / max(1, around[0]), np.log1p(around[2] / max(1, around[4])),
-            sum(k.tag == node.tag for k in kids[:50]) / min(50, len(kids)), long_words / max(1, words), np.log1p(prose), forms > 0,
+            (tags_of[id(parent)][node.tag] if node.parent is not None else 1) / len(kids), long_words / max(1, words), np.log1p(prose), forms > 0,
             node.tag == "#text", node.tag in _PROSE or parent.tag in _PROSE and node.tag == "#text", parent.tag in ("li", "dt", "dd", "td", "th"), np.log1p(tags),
             around[6] / max(1, around[2]), np.log1p(around[7]), around[8] > 0, parent.s[3] / max(1, parent.s[2]),
         )

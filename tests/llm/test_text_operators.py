@@ -310,3 +310,17 @@ def test_common_toxic_words_are_typical():
     toxic = [[b"p%d" % rng.randrange(10**6), *([b"zorkel"] if i < 1000 else []), b"q%d" % rng.randrange(10**6)] for i in range(1500)]
     ordinary = [[b"r%d" % i, *([b"zorkel"] if i < 60 else [])] for i in range(6000)]
     assert toxicity.typical_words(toxic, ordinary) == [b"zorkel"]
+
+
+@pytest.mark.parametrize("tag", "video audio object select math svg canvas noscript template datalist".split())
+def test_unclosed_elements_keep_the_page(tag):
+    leaves = [n.text for n in htmltext.parse(f"<div><{tag}>fallback<article><p>The text.</p></article></div><p>More.</p>") if n.tag == "#text"]
+    assert leaves == ["The text.", "More."]
+
+
+def test_all_attribute_tokens_and_siblings_count():
+    long = " ".join(["mt"] * 40)
+    assert "sidebar" in htmltext.parse(f'<div class="{long} sidebar">x</div>')[1].tokens
+    nodes = htmltext.parse("<h2>a</h2>" * 50 + "<p>b</p>" * 50)
+    rows = htmltext.features(nodes, {})
+    assert rows[[n.tag for n in nodes].index("p"), 19] == 0.5
