@@ -8,7 +8,8 @@ probability by logistic calibration.
 What is typical of toxic text is learned, not listed: words that occur in many different contexts in toxic texts (so
 that copies of one text count once) and hardly ever in ordinary ones. The fit uses at most about ``TOXIC_ROWS`` toxic and
 ``ORDINARY_ROWS`` ordinary labelled rows, and at most about ``SAMPLE_BYTES`` of text, chosen by a hash of the id over all labels;
-the bounds are parameters. Scoring covers every window of every text.
+the bounds are parameters. A hash of the text deals the share ``CALIBRATION`` (a parameter) of these rows to the threshold and the calibration
+and all others to the dictionaries; where that leaves a part without toxic or without ordinary rows, both use all rows. Scoring covers every window of every text.
 
 Defined cases: null, empty and wordless texts get the score of a text without any saving; if no toxic or no ordinary
 row can be learned from, all scores are 0; rows with a null id or label are never learned from, a null id counts as held
@@ -22,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +36,7 @@ TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1500, 6000, 48_000_000
 DICTIONARY = 32768
 TYPICAL = 8192
 LEVEL = 3
+CALIBRATION = 0.3
 _GAPS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
 
@@ -107,19 +110,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def fit(toxic: list[str], ordinary: list[str]) -> Model:
+def _place(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
+def _dealt(texts: list[str], calibration: float) -> tuple[list[str], list[str]]:
+    """The distinct texts for the dictionaries and those for the calibration, by a hash of the text."""
+    texts = sorted(set(texts), key=lambda t: (_place(t), t))
+    cut = [t for t in texts if _place(t) < calibration * 2.0**64]
+    return texts[len(cut) :], cut
+
+
+def fit(toxic: list[str], ordinary: list[str], calibration: float = CALIBRATION) -> Model:
     """Train both dictionaries, then the threshold and the calibration on rows that the dictionaries haven't seen."""
-    toxic, ordinary = sorted(set(toxic)), sorted(set(ordinary))
     if not toxic or not ordinary:
         return Model(b"", b"")
+    (toxic, toxic_cut), (ordinary, ordinary_cut) = _dealt(toxic, calibration), _dealt(ordinary, calibration)
+    if not (toxic and toxic_cut and ordinary and ordinary_cut):
+        toxic = toxic_cut = toxic + toxic_cut
+        ordinary = ordinary_cut = ordinary + ordinary_cut
     a, b = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
     typical = b"".join(b" " + w for w in typical_words(a, b))[-TYPICAL:] + b" "
-    samples = [b" ".join(w[i : i + 24]) for w in b[: max(1, len(b) // 3)] for i in range(0, len(w), 24)]
+    samples = [b" ".join(w[i : i + 24]) for w in b for i in range(0, len(w), 24)]
     try:
         base = zstandard.train_dictionary(DICTIONARY, samples, k=64, d=8).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: it is its own dictionary
         base = b" ".join(samples)[-DICTIONARY:]
-    texts, y = toxic[-800:] + ordinary[-1600:], np.r_[np.ones(min(800, len(toxic))), np.zeros(min(1600, len(ordinary)))]
+    texts, y = toxic_cut + ordinary_cut, np.r_[np.ones(len(toxic_cut)), np.zeros(len(ordinary_cut))]
     model = Model(b" " + base, typical)
     pair = model.compressors()
     savings = [model.savings(t, pair) for t in texts]
@@ -137,6 +154,7 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
 def learn(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
     toxic_rows: int = TOXIC_ROWS, ordinary_rows: int = ORDINARY_ROWS, sample_bytes: int = SAMPLE_BYTES,
+    calibration: float = CALIBRATION,
 ) -> Model:
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).dropna().groupBy("id").agg(F.max("y").alias("y"))
     sizes = {r[0]: r[1] for r in known.groupBy("y").count().collect() if r[0] in (0, 1)}
@@ -150,7 +168,7 @@ def learn(
         if sample_bytes < 0 and held[0] and held[1]:
             break
         held[r["y"]].append(r["text"])
-    return fit(held[1], held[0])
+    return fit(held[1], held[0], calibration)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

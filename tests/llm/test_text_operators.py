@@ -324,3 +324,15 @@ def test_all_attribute_tokens_and_siblings_count():
     nodes = htmltext.parse("<h2>a</h2>" * 50 + "<p>b</p>" * 50)
     rows = htmltext.features(nodes, {})
     assert rows[[n.tag for n in nodes].index("p"), 19] == 0.5
+
+
+def test_toxicity_calibrates_on_rows_the_dictionaries_have_not_seen(monkeypatch):
+    rng = random.Random(23)
+    toxic, ordinary = ([f"{p} {words(rng, 30)}{bad}" for p in "az" for _ in range(n)] for n, bad in ((60, " zorkel"), (120, "")))
+    learned, judged = set(), set()
+    typical, savings = toxicity.typical_words, toxicity.Model.savings
+    monkeypatch.setattr(toxicity, "typical_words", lambda a, b: learned.update(map(tuple, a + b)) or typical(a, b))
+    monkeypatch.setattr(toxicity.Model, "savings", lambda m, t, c: judged.add(tuple(toxicity.words_of(t))) or savings(m, t, c))
+    toxicity.fit(toxic, ordinary)
+    assert not learned & judged and learned | judged == {tuple(toxicity.words_of(t)) for t in toxic + ordinary}
+    assert all({w[0] for w in part} >= {b"a", b"z"} for part in (learned, judged))
