@@ -1,41 +1,49 @@
 """Toxicity by compression distance (operator 1).
 
-Two zstandard dictionaries are trained: one on ordinary text, and one on toxic text, which is that plus the segments
-typical of toxic text. Each window of ``WINDOW`` words of a text is compressed with both; how many bytes the toxic dictionary
-saves is the window's distance. A text's largest saving and its number of windows past a calibrated threshold give a
-probability by logistic calibration.
-
-What is typical of toxic text is learned, not listed: words that occur in many different contexts in toxic texts (so
-that copies of one text count once) and hardly ever in ordinary ones. The fit uses at most about ``TOXIC_ROWS`` toxic and
-``ORDINARY_ROWS`` ordinary labelled rows, and at most about ``SAMPLE_BYTES`` of text, chosen by a hash of the id over all labels;
-the bounds are parameters. A hash of the text deals the share ``CALIBRATION`` (a parameter) of these rows to the threshold and the calibration
-and all others to the dictionaries; where that leaves a part without toxic or without ordinary rows, both use all rows. Scoring covers every window of every text.
+Two zstandard dictionaries are trained, one on ordinary text and one on toxic text. Each window of ``WINDOW`` words of a
+text is compressed with the ordinary dictionary alone and with the toxic one beside it; how many bytes that saves is the window's
+distance (two dictionaries of unlike text, each alone, differ by chance on every window). A text's largest saving and what
+its windows save from a calibrated threshold on give a probability by logistic calibration. Every window starts with a piece of the ordinary dictionary, so that
+each is written as a compressed block, and none as a plain one whose length says nothing.
+
+Toxic texts are mostly ordinary prose. What the toxic dictionary is trained on are therefore the stretches of toxic texts that
+ordinary ones don't explain: the word sequences of up to ``ORDER`` words that lie in more toxic texts, and there between more different neighbours (so
+that copies of one text count once), than chance allows (a binomial tail; the share ``CHANCE`` of them may be false).
+Where nothing stands out, it is trained on all segments of toxic text.
+
+The fit uses at most about ``TOXIC_ROWS`` toxic and ``ORDINARY_ROWS`` ordinary labelled rows, and of either class at most ``SAMPLE_BYTES`` of
+text, chosen by a hash of the id over all labels; the bounds are parameters. A hash of the text deals the share
+``CALIBRATION`` (a parameter) of these rows to the threshold and the calibration and all others to the dictionaries; where that leaves a
+part without toxic or without ordinary rows, both use all rows. Scoring covers every window of every text.
 
 Defined cases: null, empty and wordless texts get the score of a text without any saving; if no toxic or no ordinary
 row can be learned from, all scores are 0; rows with a null id or label are never learned from, a null id counts as held
-out; of several labels of one id the largest holds; repeated rows are scored alike; extra columns are ignored; an empty
-table gives no rows.
+out; of several labels of one id the largest holds; repeated rows are scored alike; extra columns are ignored, one named
+``score`` gives way to the new one; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 
 import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimgraph.llm.common import bucket_of, table
 
-WINDOW, STRIDE = 16, 15
+WINDOW, STRIDE = 4, 3
 FOLDS, HELD_OUT = 5, 0
-TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1500, 6000, 48_000_000
-DICTIONARY = 32768
-TYPICAL = 8192
-LEVEL = 3
+TOXIC_ROWS, ORDINARY_ROWS, SAMPLE_BYTES = 1500, 6000, 16_000_000
+DICTIONARY, TOXIC_DICTIONARY = 32768, 8192
+ORDER = 2
+CHANCE = 0.05
+PRIMER = 40
+LEVEL, LEAST_MATCH = 3, 6
 CALIBRATION = 0.3
 _GAPS = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
@@ -45,33 +53,37 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Model:
-    """Both dictionaries, the threshold and the calibration; ``typical`` empty: nothing was learned."""
+    """Both dictionaries, the threshold and the calibration; ``toxic`` empty: nothing was learned."""
 
-    def __init__(self, ordinary: bytes, typical: bytes, threshold: int = 2, weights=(0.0, 0.0, 0.0, 0.0)):
-        self.ordinary, self.typical, self.threshold, self.weights = ordinary, typical, threshold, tuple(weights)
+    def __init__(self, ordinary: bytes, toxic: bytes, threshold: int = 1, weights=(0.0, 0.0, 0.0, 0.0)):
+        self.ordinary, self.toxic, self.threshold, self.weights = ordinary, toxic, threshold, tuple(weights)
 
     def compressors(self):
         def of(content: bytes):
             known = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             params = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=128, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0
-            )
+                LEVEL, source_size=128, dict_size=len(content), hash_log=18, chain_log=18, min_match=LEAST_MATCH,
+                write_content_size=0, write_checksum=0, write_dict_id=0,
+            )
             known.precompute_compress(compression_params=params)
             return zstandard.ZstdCompressor(dict_data=known, compression_params=params).compress
 
-        return of(self.ordinary), of(self.ordinary + self.typical)
+        # The toxic part stands in front, so that all offsets into the ordinary one are the same for both; in three copies at all remainders
+        # of 3 (and a multiple of 3 long), as zstd indexes every third place of a dictionary in full.
+        copy = self.toxic + b" " * ((1 - len(self.toxic)) % 3)
+        return of(self.ordinary), of(3 * copy + self.ordinary)
 
     def savings(self, text: str | None, compressors) -> np.ndarray:
         words = words_of(text)
         one, two = compressors
-        out = []
+        primer, out = self.ordinary[-PRIMER:] + b" ", []
         for i in range(0, max(1, len(words) - (WINDOW - STRIDE)), STRIDE):
-            window = b" " + b" ".join(words[i : i + WINDOW]) + b" "
+            window = primer + b" ".join(words[i : i + WINDOW]) + b" "
             out.append(len(one(window)) - len(two(window)))
         return np.array(out if words else [0], np.int64)
 
     def features(self, savings: np.ndarray) -> tuple[float, float, float, float]:
-        past = int((savings >= self.threshold).sum())
+        past = int(savings[savings >= self.threshold].sum())
         return 1.0, float(min(12, max(0, savings.max()))), float(np.log1p(past)), past / len(savings)
 
     def score(self, text: str | None, compressors) -> float:
@@ -79,23 +91,68 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def typical_words(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
-    """Words with many contexts in toxic texts and, for as much text, hardly any in ordinary ones; the most frequent last."""
-    seen, usual = Counter(), Counter()
-    for words in toxic:
-        seen.update(set(words))
-    for words in ordinary:
-        usual.update(set(words))
-    least = min(8, max(3, len(toxic) // 60))
-    scale = len(ordinary) / len(toxic)
-    likely = {w for w, n in seen.items() if n >= least and len(w) > 2 and n * scale >= 10 * (usual[w] + 0.5)}
-    contexts: dict[bytes, set] = {w: set() for w in likely}
-    for words in toxic:
-        for i, w in enumerate(words):
-            if w in likely:
-                contexts[w].add((words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""))
-    found = [w for w in likely if len(contexts[w]) >= least and len(contexts[w]) * scale >= 20 * (usual[w] + 0.5)]
-    return sorted(found, key=lambda w: (len(contexts[w]), seen[w], w))
+def _grams(words: list[bytes], n: int) -> list[bytes]:
+    return words if n == 1 else [b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)]
+
+
+def _log_tail(n: int, k: int, p: float) -> float:
+    """Chernoff's bound on the log of the chance that k or more of n fall on a side of probability p."""
+    if k <= n * p:
+        return 0.0
+    q = k / n
+    return -n * (q * math.log(q / p) + ((1 - q) * math.log((1 - q) / (1 - p)) if q < 1 else 0.0))
+
+
+def unusual(toxic: list[list[bytes]], ordinary: list[list[bytes]], order: int = ORDER, chance: float = CHANCE) -> set[bytes]:
+    """The word sequences whose share of toxic texts chance doesn't explain; none that holds a shorter one.
+
+    About ``chance`` of what is found may be there by chance (the rule of Benjamini and Hochberg over all sequences of toxic texts).
+    """
+    out: set[bytes] = set()
+    share = len(toxic) / (len(toxic) + len(ordinary))
+    for n in range(1, order + 1):
+        seen, usual = Counter(), Counter()
+        for words in toxic:
+            seen.update(set(_grams(words, n)))
+        tested = len(seen)
+        seen = Counter({g: k for g, k in seen.items() if k > 2 and not out & set(g.split())})
+        for words in ordinary:
+            usual.update(seen.keys() & set(_grams(words, n)))
+        around: dict[bytes, set] = {g: set() for g, k in seen.items() if _log_tail(k + usual[g], k, share) < math.log(chance)}
+        for words in toxic:
+            for i, g in enumerate(_grams(words, n)):
+                if g in around:
+                    around[g].add((words[i - 1] if i else b"", words[i + n] if i + n < len(words) else b""))
+        found = []
+        for g, met in around.items():
+            k = min(len(met), seen[g])
+            found.append((_log_tail(k + usual[g], k, share), g))
+        found.sort()
+        passed = [i for i, (tail, _) in enumerate(found, 1) if tail <= math.log(chance * i / tested)]
+        out |= {g for _, g in found[: max(passed, default=0)]}
+    return out
+
+
+def stretches(words: list[bytes], marked: set[bytes], order: int = ORDER) -> list[bytes]:
+    """The maximal stretches of a text that marked sequences cover, with a blank on both sides."""
+    hit = np.zeros(len(words) + 1, bool)
+    for n in range(1, order + 1):
+        for i, g in enumerate(_grams(words, n)):
+            if g in marked:
+                hit[i : i + n] = True
+    edges = np.flatnonzero(np.diff(np.r_[False, hit].astype(np.int8)))
+    return [b" " + b" ".join(words[a:b]) + b" " for a, b in zip(edges[::2], edges[1::2])]
+
+
+def _segments(texts: list[list[bytes]]) -> list[bytes]:
+    return [b" ".join(w[i : i + 24]) for w in texts for i in range(0, len(w), 24)]
+
+
+def _trained(size: int, samples: list[bytes], k: int, d: int) -> bytes:
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:  # too little text to train on: it is its own dictionary
+        return b" ".join(dict.fromkeys(samples))[-size:]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -130,25 +187,22 @@ def fit(toxic: list[str], ordinary: list[str], calibration: float = CALIBRATION)
         toxic = toxic_cut = toxic + toxic_cut
         ordinary = ordinary_cut = ordinary + ordinary_cut
     a, b = [words_of(t) for t in toxic], [words_of(t) for t in ordinary]
-    typical = b"".join(b" " + w for w in typical_words(a, b))[-TYPICAL:] + b" "
-    samples = [b" ".join(w[i : i + 24]) for w in b for i in range(0, len(w), 24)]
-    try:
-        base = zstandard.train_dictionary(DICTIONARY, samples, k=64, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: it is its own dictionary
-        base = b" ".join(samples)[-DICTIONARY:]
+    marked = unusual(a, b)
+    base = _trained(DICTIONARY, _segments(b), 64, 8)
+    extra = _trained(TOXIC_DICTIONARY, [s for w in a for s in stretches(w, marked)] if marked else _segments(a), 12, 6)
     texts, y = toxic_cut + ordinary_cut, np.r_[np.ones(len(toxic_cut)), np.zeros(len(ordinary_cut))]
-    model = Model(b" " + base, typical)
+    model = Model(b" " + base, b" " + extra + b" ")
     pair = model.compressors()
     savings = [model.savings(t, pair) for t in texts]
     best = None
     for threshold in range(1, 8):
-        trial = Model(model.ordinary, typical, threshold)
+        trial = Model(model.ordinary, model.toxic, threshold)
         x = np.array([trial.features(s) for s in savings])
         w = _logistic(x, y)
         loss = float(np.mean(np.log1p(np.exp(-np.clip((2 * y - 1) * (x @ w), -30, 30)))))
         if best is None or loss < best[0] - 1e-9:
             best = (loss, threshold, w)
-    return Model(model.ordinary, typical, best[1], best[2])
+    return Model(model.ordinary, model.toxic, best[1], best[2])
 
 
 def learn(
@@ -162,30 +216,29 @@ def learn(
     chosen = known.filter(F.col("y").isin(0, 1) & (F.pmod(F.xxhash64("id"), F.lit(2**20)) < part * 2.0**20))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     rows = rows.join(F.broadcast(chosen), "id")  # about toxic_rows + ordinary_rows rows at most
+    place = Window.partitionBy("y").orderBy("h", "text")  # two partitions of a bounded sample
+    rows = rows.select("y", "text", F.xxhash64("id").alias("h"), F.octet_length("text").alias("n")).withColumn("before", F.sum("n").over(place) - F.col("n"))
     held: dict[int, list[str]] = {0: [], 1: []}
-    for r in rows.select("y", "text", F.octet_length("text").alias("n")).orderBy(F.xxhash64("id"), "text").toLocalIterator():
-        sample_bytes -= r["n"]
-        if sample_bytes < 0 and held[0] and held[1]:
-            break
+    for r in rows.filter(F.col("before") < sample_bytes).select("y", "text").toLocalIterator():
         held[r["y"]].append(r["text"])
     return fit(held[1], held[0], calibration)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score``; all its columns are kept (and must not have that name)."""
+    """``docs`` with ``score``; all its other columns are kept."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     made: list = []
 
     @F.pandas_udf("double")
     def judge(texts: pd.Series) -> pd.Series:
         m = shared.value
-        if not m.typical:
+        if not m.toxic:
             return pd.Series(0.0, index=texts.index)
         if not made:
             made.append(m.compressors())
         return pd.Series([m.score(t, made[0]) for t in texts], index=texts.index, dtype=float)
 
-    return docs.withColumn("score", judge(F.col(text_col).cast("string")))
+    return docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "score"], judge(F.col(text_col).cast("string")).alias("score"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

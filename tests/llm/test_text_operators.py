@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns; and brute force."""
 
 import hashlib
+import os
 import random
 import zlib
 from collections import Counter
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from claimgraph.llm import chat, decontaminate, htmltext, katz, language, near_duplicates, packing, substrings, toxicity
 
+SF = "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id string, hits string, t string, node string, rank string"
 
 
@@ -242,9 +244,9 @@ def test_toxicity_learns_inserted_words(spark, odd_rows):
         rows.append((k, " ".join(w), "en"))
         labels.append((k, int(toxic)))
     table = spark.createDataFrame(labels, "doc_id long, toxic int")
-    docs = frame(spark, rows).drop("score")
+    docs = frame(spark, rows)
     model = toxicity.learn(docs, table.filter(toxicity.bucket_of("doc_id", 5) != 0))
-    got = [r for r in toxicity.score(docs.select("doc_id", "text"), model).collect()]
+    got = [r for r in toxicity.score(docs.select("doc_id", "text", "score"), model).collect()]
     assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
     held = [r for r in got if r["doc_id"] is not None and r["doc_id"] >= 400 and zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0]
     assert np.mean([(r["score"] >= 0.5) == (r["doc_id"] % 4 == 0) for r in held]) > 0.9
@@ -305,11 +307,30 @@ def test_a_drifting_chain_is_one_class(spark):
     assert classes == {0: 1200}
 
 
-def test_common_toxic_words_are_typical():
+def test_common_toxic_words_and_phrases_stand_out():
     rng = random.Random(17)
-    toxic = [[b"p%d" % rng.randrange(10**6), *([b"zorkel"] if i < 1000 else []), b"q%d" % rng.randrange(10**6)] for i in range(1500)]
-    ordinary = [[b"r%d" % i, *([b"zorkel"] if i < 60 else [])] for i in range(6000)]
-    assert toxicity.typical_words(toxic, ordinary) == [b"zorkel"]
+    toxic = [[b"p%d" % rng.randrange(10**6), *([b"zorkel"] if i < 1000 else []), b"q%d" % rng.randrange(10**6), b"get", b"lost", b"z%d" % rng.randrange(10**6)] for i in range(1500)]
+    ordinary = [[b"r%d" % i, *([b"zorkel"] if i < 60 else []), b"get", b"not", b"lost"] for i in range(6000)]
+    assert toxicity.unusual(toxic, ordinary) == {b"zorkel", b"get lost"}
+    copies = [[b"a", b"copied", b"text"]] * 300
+    assert toxicity.unusual(copies + toxic, ordinary) == {b"zorkel", b"get lost"}
+    assert toxicity.stretches([b"a", b"zorkel", b"get", b"lost", b"b", b"zorkel"], {b"zorkel", b"get lost"}) == [b" zorkel get lost ", b" zorkel "]
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_toxicity_on_held_out_labels():
+    """The order of held-out rows (area under the curve) and the 0.5 decision, with the few labels of sf0.1 to learn from."""
+    import pandas as pd
+
+    docs = pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]].merge(pd.read_parquet(f"{SF}/labels.parquet")[["doc_id", "toxic"]], on="doc_id").dropna()
+    held = np.array([zlib.crc32(str(i).encode()) % 5 == 0 for i in docs["doc_id"]])
+    y, texts = docs["toxic"].to_numpy(), docs["text"].to_numpy()
+    model = toxicity.fit(list(texts[~held & (y == 1)]), list(texts[~held & (y == 0)]))
+    pair = model.compressors()
+    score, y = np.array([model.score(t, pair) for t in texts[held]]), y[held]
+    ranks = pd.Series(score).rank().to_numpy()
+    area = (ranks[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    assert area > 0.93 and ((score >= 0.5) & (y == 0)).sum() < 0.02 * (y == 0).sum() and ((score >= 0.5) & (y == 1)).sum() > 0.7 * y.sum()
 
 
 @pytest.mark.parametrize("tag", "video audio object select math svg canvas noscript template datalist".split())
@@ -330,8 +351,8 @@ def test_toxicity_calibrates_on_rows_the_dictionaries_have_not_seen(monkeypatch)
     rng = random.Random(23)
     toxic, ordinary = ([f"{p} {words(rng, 30)}{bad}" for p in "az" for _ in range(n)] for n, bad in ((60, " zorkel"), (120, "")))
     learned, judged = set(), set()
-    typical, savings = toxicity.typical_words, toxicity.Model.savings
-    monkeypatch.setattr(toxicity, "typical_words", lambda a, b: learned.update(map(tuple, a + b)) or typical(a, b))
+    unusual, savings = toxicity.unusual, toxicity.Model.savings
+    monkeypatch.setattr(toxicity, "unusual", lambda a, b: learned.update(map(tuple, a + b)) or unusual(a, b))
     monkeypatch.setattr(toxicity.Model, "savings", lambda m, t, c: judged.add(tuple(toxicity.words_of(t))) or savings(m, t, c))
     toxicity.fit(toxic, ordinary)
     assert not learned & judged and learned | judged == {tuple(toxicity.words_of(t)) for t in toxic + ordinary}
