@@ -1,14 +1,13 @@
 """Best-fit packing with swap-based local search (operator 8).
 
 Every document becomes token ids plus an end id; only documents longer than a sequence are cut, into full pieces
-with the shorter one first. Lengths lie in 1..capacity, so how many pieces have each length (at most ``capacity``
-numbers, whatever the input) is all that a packing plan needs. The driver packs that histogram: best-fit decreasing in
+with the shorter one first. A full piece is a sequence. The other lengths lie in 1..capacity-1, so how many pieces have each length (fewer than
+``capacity`` numbers, whatever the input) is all that a packing plan needs. The driver packs that histogram: best-fit decreasing in
 bulk over classes of bins with equal contents, then local search that moves a piece, or exchanges one for one or two
-for one, between underfull bins while the sum of squared fills grows, until bins empty or the lower bound is met.
+for one, between underfull bins while the sum of squared fills grows, until bins empty or the lower bound is met; where nothing gains,
+exchanges of equal lengths, with full bins too, change what underfull bins hold, until something gains.
 Executors then give the r-th piece of each length the r-th slot of that length. No task sees more than a salted share
-of one length, and nothing that grows with the documents reaches the driver.
-
-A plan's size is bounded by the lengths, not by the documents: a step splits one class at most.
+of one length, and nothing that grows with the documents reaches the driver: a plan's size is bounded by the lengths, as a step splits one class at most.
 
 Defined cases: a null or empty text is a one-token document (the end id); repeated rows are packed once each; a null
 id is kept; an empty table gives no rows; extra columns are ignored; very long texts are cut whole.
@@ -18,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import os
+import random
 import zlib
 from collections import Counter
 
@@ -31,8 +31,7 @@ from claimgraph.llm.common import Stage, table
 CAPACITY = 1024
 END_ID = 2
 ROWS_A_SALT = 2000
-MOST_SALTS = 16384
-MOST_EXCHANGES = 20_000
+PATIENCE = 4000
 
 
 def encoder(json_path: str | None = None, ranks_path: str | None = None):
@@ -129,66 +128,117 @@ def best_fit(histogram: dict[int, int], capacity: int) -> Counter:
     return plan
 
 
-def _exchange(a: tuple, b: tuple, capacity: int):
-    """The best move or exchange from bin a into the fuller bin b: (gain, new a, new b), or None."""
-    fa, fb = sum(a), sum(b)
-    room, best = capacity - fb, None
-    outs = [(x, (x,)) for x in sorted(set(a))] + [(x + y, (x, y)) for i, x in enumerate(a) for y in a[i + 1 :]]
-    backs = [(0, ())] + [(x, (x,)) for x in sorted(set(b))]
-    for out, xs in outs:
-        for back, ys in backs:
-            d = out - back
-            if 0 < d <= room and (len(xs), len(ys)) != (2, 0):
-                gain = 2 * d * (fb - fa + d)
-                if gain > 0 and (best is None or gain > best[0]):
-                    na, nb = list(a), list(b)
-                    for x in xs:
-                        na.remove(x)
-                    for y in ys:
-                        nb.remove(y)
-                    best = (gain, tuple(sorted(na + list(ys))), tuple(sorted(nb + list(xs))))
-    return best
-
-
-def improve(plan: Counter, capacity: int, most: int = MOST_EXCHANGES) -> Counter:
-    """Local search: exchange between underfull bins, the emptiest first, while the squared fill grows.
-
-    It ends when the number of bins meets the lower bound, no exchange helps, or ``most`` exchanges are done.
+def _without(items: tuple, gone: tuple, more: tuple) -> tuple:
+    out = list(items)
+    for x in gone:
+        out.remove(x)
+    return tuple(sorted(out + list(more)))
+
+
+def _choices(items: tuple) -> dict[int, tuple]:
+    """What can leave a bin at once, by its length: one piece or two."""
+    out = {items[i] + y: (items[i], y) for i in range(len(items)) for y in items[i + 1 :]}
+    return out | {x: (x,) for x in items}
+
+
+class _Search:
+    """The classes of bins of a plan (bins with equal contents) and what can leave them."""
+
+    def __init__(self, plan: Counter, capacity: int):
+        self.capacity, self.bins, self.choices = capacity, Counter(), {}
+        #: By length: what holds a piece, or two pieces, of it. Classes that are gone stay listed and are passed over.
+        self.holding: dict[int, list[tuple[tuple, tuple]]] = {}
+        #: The underfull classes and, a row for each choice of theirs, its length, its class's fill and its class's place.
+        self.under: list[tuple] = []
+        self.rows: np.ndarray | None = None
+        for items, k in plan.items():
+            self.add(tuple(sorted(items)), k)
+
+    def add(self, items: tuple, k: int) -> None:
+        if not items:
+            return
+        if (self.bins[items] == 0 or self.bins[items] + k == 0) and sum(items) < self.capacity:
+            self.rows = None
+        self.bins[items] += k
+        if items not in self.choices:
+            self.choices[items] = _choices(items)
+            for length, ys in self.choices[items].items():
+                self.holding.setdefault(length, []).append((items, ys))
+        if not self.bins[items]:
+            del self.bins[items]
+
+    def _read(self) -> None:
+        if self.rows is None:
+            self.under = sorted((i for i in self.bins if sum(i) < self.capacity), key=lambda i: (sum(i), i))
+            parts = [(v, sum(i), j) for j, i in enumerate(self.under) for v in (0, *self.choices[i])]
+            self.rows = np.array(parts, np.int64).reshape(-1, 3).T
+
+    def best(self, a: tuple):
+        """The move or exchange of a with another underfull bin that lets the squared fill grow most: (emptier, fuller, out, back), or None."""
+        self._read()
+        length, fill, place = self.rows
+        fa, found = sum(a), (0,)
+        alone = self.bins[a] < 2
+        for out in (0, *self.choices[a]):
+            d = out - length  # what the other bin gains
+            gain = d * (fill - fa + d)
+            fits = (d <= self.capacity - fill) & (-d <= self.capacity - fa) & (gain > 0)
+            k = int(np.where(fits, gain, 0).argmax())
+            if alone and fits[k] and self.under[place[k]] == a:
+                fits &= place != place[k]
+                k = int(np.where(fits, gain, 0).argmax())
+            if fits[k] and gain[k] > found[0]:
+                found = (int(gain[k]), out, int(length[k]), self.under[place[k]])
+        if len(found) == 1:
+            return None
+        _, out, back, b = found
+        return a, b, self.choices[a][out] if out else (), self.choices[b][back] if back else ()
+
+    def exchange(self, a: tuple, b: tuple, xs: tuple, ys: tuple, m: int) -> tuple[tuple, tuple]:
+        """Do it in ``m`` pairs of bins; what became of both."""
+        new = _without(a, xs, ys), _without(b, ys, xs)
+        for items, k in ((a, -m), (b, -m), (new[0], m), (new[1], m)):
+            self.add(items, k)
+        return new
+
+    def level(self, rng: random.Random):
+        """An exchange of equal lengths, not one for one, of an underfull bin chosen by chance with any bin: (a, b, out, back), or None."""
+        self._read()
+        a = rng.choice(self.under)
+        length, xs = rng.choice(list(self.choices[a].items()))
+        there = self.holding.get(length, ())
+        for _ in range(min(8, len(there))):
+            b, ys = there[rng.randrange(len(there))]
+            if self.bins.get(b, 0) > (a == b) and ys != xs:
+                return a, b, xs, ys
+        return None
+
+
+def improve(plan: Counter, capacity: int, patience: int = PATIENCE) -> Counter:
+    """Local search: moves and exchanges between underfull bins while the squared fill grows and bins empty.
+
+    Where nothing gains, exchanges of equal lengths (two for one or two for two, also with full bins) change at no loss what underfull bins
+    hold, until one of them gains. The search ends at the lower bound, or after ``patience`` such steps in a row without a gain: a
+    parameter of the search, not of what is packed.
     """
-    bins: Counter = Counter()
-    for items, k in plan.items():
-        bins[tuple(sorted(items))] += k
-    bound = -(-sum(sum(i) * k for i, k in bins.items()) // capacity)
-    stuck: set[tuple] = set()
-    while most > 0 and sum(bins.values()) > bound:
-        under = sorted((i for i, k in bins.items() if k and sum(i) < capacity), key=lambda i: (sum(i), i))
-        done = False
-        for a in under:
-            if a in stuck:
-                continue
-            best = None
-            for b in reversed(under):
-                if sum(b) < sum(a) or (a == b and bins[a] < 2):
-                    continue
-                found = _exchange(a, b, capacity)
-                if found and (best is None or found[0] > best[1][0]):
-                    best = (b, found)
-            if best is None:
-                stuck.add(a)
+    state, rng = _Search(plan, capacity), random.Random(5)
+    bound = -(-sum(sum(i) * k for i, k in state.bins.items()) // capacity)
+    todo, idle = [i for i in sorted(state.bins, key=lambda i: (-sum(i), i)) if sum(i) < capacity], 0
+    while state.bins.total() > bound and idle < patience:
+        while todo:
+            a = todo.pop()
+            if not state.bins.get(a) or sum(a) >= capacity:
                 continue
-            b, (_, na, nb) = best
-            m = bins[a] // 2 if a == b else min(bins[a], bins[b])
-            for items, k in ((a, -m), (b, -m), (na, m), (nb, m)):
-                if items:
-                    bins[items] += k
-            bins += Counter()  # drops empty classes
-            stuck.clear()
-            most -= 1
-            done = True
-            break
-        if not done:
-            break
-    return bins
+            found = state.best(a)
+            if found:
+                a, b, xs, ys = found
+                todo += [a, b, *state.exchange(a, b, xs, ys, state.bins[a] // 2 if a == b else min(state.bins[a], state.bins[b]))]
+                idle = 0
+        idle += 1
+        flat = state.level(rng)
+        if flat:
+            todo += state.exchange(*flat, 1)
+    return state.bins
 
 
 def slots_of(plan: Counter) -> pd.DataFrame:
@@ -212,10 +262,14 @@ def pack(
     spark = docs.sparkSession
     pieces = Stage(pieces_of(docs, id_col, text_col, capacity, end_id, json_path, ranks_path), "pieces").df
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
+    full, shorter = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
+    # A full piece is a sequence of its own. The pieces are a written table, so that a task that runs again numbers them alike.
+    whole = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    histogram.pop(capacity, None)
     plan = improve(best_fit(histogram, capacity), capacity)
     slots = spark.sparkContext.broadcast({c: v.to_numpy() for c, v in slots_of(plan).items()})
-    salts = min(MOST_SALTS, max(64, sum(histogram.values()) // ROWS_A_SALT))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    shares = spark.createDataFrame([(n, max(1, k // ROWS_A_SALT)) for n, k in histogram.items()], "length long, salts long")  # fewer than `capacity` rows
+    salted = shorter.join(F.broadcast(shares), "length").withColumn("salt", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), "salts")).drop("salts")
     before = salted.groupBy("length", "salt").count()
     before = before.withColumn("base", F.sum("count").over(Window.partitionBy("length").orderBy("salt")) - F.col("count")).drop("count")
     local = F.row_number().over(Window.partitionBy("length", "salt").orderBy("id", "piece", "ids_crc32")) - 1
@@ -232,6 +286,7 @@ def pack(
 
     ranked = ranked.select("id", "piece", "start", "length", "ids_crc32", "rank")
     out = ranked.mapInPandas(place, "id string, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    out = out.unionByName(whole)
     return out.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 

@@ -317,6 +317,27 @@ def test_common_toxic_words_and_phrases_stand_out():
     assert toxicity.stretches([b"a", b"zorkel", b"get", b"lost", b"b", b"zorkel"], {b"zorkel", b"get lost"}) == [b" zorkel get lost ", b" zorkel "]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_packing_of_the_given_tables():
+    """Every id as the tokenizers file gives it; the search empties bins that best fit leaves, down to the bound of sf0.1."""
+    import pandas as pd
+
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    plain, encode = Tokenizer.from_file(public.path("byte_bpe_50k.json")), packing.encoder()
+    for sf, want in (("sf0.001", 193), ("sf0.01", 964), ("sf0.1", 9871)):
+        texts = [t or "" for t in pd.read_parquet(f"{os.path.dirname(SF)}/{sf}/documents.parquet")["text"]]
+        got = [encode(t) for t in texts]
+        if sf != "sf0.1":
+            assert all(e.ids == g.tolist() for e, g in zip(plain.encode_batch(texts, add_special_tokens=False), got))
+        h = Counter(n for g in got for _, n in packing.cut(len(g) + 1))
+        plan = packing.best_fit(dict(h), 1024)
+        after = packing.improve(plan, 1024)
+        bound = -(-sum(n * k for n, k in h.items()) // 1024)
+        assert bound <= sum(after.values()) <= min(want, sum(plan.values())) and (sf != "sf0.1" or sum(after.values()) == bound)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
 def test_toxicity_on_held_out_labels():
     """The order of held-out rows (area under the curve) and the 0.5 decision, with the few labels of sf0.1 to learn from."""
