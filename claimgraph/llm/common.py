@@ -24,7 +24,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _ROOTS.setdefault("", tempfile.mkdtemp(prefix="claimgraph-"))
+        if "" not in _ROOTS:
+            _ROOTS[""] = tempfile.mkdtemp(prefix="claimgraph-")
+        base = _ROOTS[""]
     if base not in _ROOTS:
         _ROOTS[base] = f"{base.rstrip('/')}/llm-{uuid.uuid4().hex}"
         atexit.register(_forget, spark, _ROOTS[base])

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from claimgraph.llm.common import Stage
 
-MOST_ROUNDS = 60
-
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for every node of ``links``: comp is the smallest node that can be reached. Rows with nulls are ignored.
@@ -20,9 +18,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     state = Stage(edges, "edges")
     print_of = _fingerprint(state.df)
-    for _ in range(MOST_ROUNDS):
-        if not print_of[0]:
-            break
+    while print_of[0]:
         both = state.df.unionByName(state.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

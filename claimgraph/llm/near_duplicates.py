@@ -3,12 +3,12 @@
 A text is its sequence of five-word shingles (lower-cased words between white space; shorter texts are one shingle).
 Shingles carry their occurrence number. Each of ``FUNCTIONS`` hash functions samples the ``KEPT`` smallest labelled
 shingles and keeps them in text order, so two texts agree on a function if they share these shingles and their order.
-Texts that agree on a function share a bucket. Within a bucket texts are compared with a leader, not in pairs: first
-with the text that meets most others, then what is not yet joined with a second leader, and what is left is dealt
-anew into buckets of two functions at once and compared there. Then each bucket that still holds more than one component is
-settled whole: every text outside its largest component meets every text of the bucket in another component. A candidate is verified by banded alignment of both
-shingle sequences: a link needs m / (n1 + n2 - m) >= 0.8 with m the shingles aligned in order. At 0.8 a pair meets
-in a bucket with probability over 0.9999. Classes are the connected components of the links.
+Texts that agree on a function share a bucket; at similarity 0.8 a pair shares one with probability over 0.9999. First all texts of a bucket are
+compared with its leader, the text that meets most others. What that leaves in more than one component in some bucket is settled exactly, without listing the
+pairs of a bucket: a prefix filter over all shingles of these texts. Shingles are ordered by how many of these texts hold them, the rarest
+first; two texts that can reach the similarity share a shingle that stands, in both, before the place from which on too few shingles are left.
+Only pairs that share one there, and lie in two components, are candidates. A candidate is verified by banded alignment of both
+shingle sequences: a link needs m / (n1 + n2 - m) >= 0.8 with m the shingles aligned in order. Classes are the connected components of the links.
 
 Exact copies are settled before by a count of text hashes and take part once.
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimgraph.llm.common import Stage, table
@@ -33,7 +33,6 @@ SHINGLE = 5
 SIMILARITY = 0.8
 FUNCTIONS = 16
 KEPT = 3
-OPEN_ROWS = 256
 _LAST = 2**63 - 1
 
 
@@ -161,12 +160,15 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
 
 def _with_leader(members: DataFrame) -> DataFrame:
     """(key, node, leader) of the members besides the leader: the member that meets most others, then the smallest."""
-    leaders = members.groupBy("key").agg(F.min(F.struct(-F.col("score"), "node")).alias("l"), F.count("*").alias("c")).filter("c > 1")
+    leaders = Stage(members.groupBy("key").agg(F.min(F.struct(-F.col("score"), "node")).alias("l")), "leaders").df
     return members.join(leaders.select("key", F.col("l.node").alias("leader")), "key").filter("node <> leader").select("key", "node", "leader")
 
 
 def _likely(led: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
-    """Distinct (a, b) whose sizes and sampled shingles leave the similarity possible (five standard deviations)."""
+    """Distinct (a, b) whose sizes and sampled shingles leave the similarity possible (five standard deviations).
+
+    What that wrongly leaves out shares a bucket in two components, and so is met again by the exact step.
+    """
     pairs = led.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     for side in "ab":
         pairs = pairs.join(marks.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("marks").alias(f"m{side}")), side)
@@ -175,32 +177,42 @@ def _likely(led: DataFrame, marks: DataFrame, similarity: float) -> DataFrame:
     return pairs.filter((small >= similarity * large) & (shared >= similarity - 0.32)).select("a", "b")
 
 
-def _unjoined(led: DataFrame, members: DataFrame, comps: DataFrame) -> DataFrame:
-    """The members that are not in the component of their bucket's leader."""
-    of = lambda name: comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
-    rest = led.join(of("node"), "node", "left").join(of("leader"), "leader", "left")
-    rest = rest.filter(~F.coalesce(F.col("node_comp") == F.col("leader_comp"), F.lit(False))).select("key", "node")
-    return rest.join(members, ["key", "node"])
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """(node, comp) of the texts that share a bucket with a text of another component."""
+    placed = members.select("key", "node").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
+    return placed.join(Stage(mixed, "mixed").df, "key").select("node", "comp").distinct()
 
 
-def _open_pairs(members: DataFrame, comps: DataFrame, sizes: DataFrame, similarity: float) -> DataFrame:
-    """(node, leader): all pairs of a bucket that lie in two components and whose sizes leave the similarity possible.
+def _prefix_pairs(open_: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Distinct (a, b) of the texts ``open_`` (node, comp) in two components that share a shingle early enough to reach the similarity.
 
-    Only texts outside their bucket's largest component are listed with others. Large buckets are cut by a salt.
+    With i (j) shingles of a text of n (m) before their first common one in the common order, at most the least of n - i and m - j are common.
     """
-    placed = members.join(comps, "node", "left").join(sizes, "node").select("key", "node", "n", F.coalesce("comp", "node").alias("comp"))
-    placed = Stage(placed, "placed").df
-    parts = placed.groupBy("key", "comp").agg(F.count("*").alias("c"))
-    parts = parts.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.sum("c").alias("size"), F.count("*").alias("parts"))
-    parts = parts.filter("parts > 1").select("key", "most", F.ceil(F.col("size") / OPEN_ROWS).cast("int").alias("salts"))
-    placed = Stage(placed.join(parts, "key"), "placed").df
-    small = placed.filter("comp <> most").select("key", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node", "n", "comp")
-    every = placed.select(
-        "key", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("node").alias("leader"), F.col("n").alias("m"), F.col("comp").alias("other"),
-        (F.col("comp") == F.col("most")).alias("large"),
-    )
-    fits = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.col("comp") != F.col("other")) & (F.col("large") | (F.col("node") < F.col("leader")))
-    return small.join(every, ["key", "salt"]).filter(fits).select("node", "leader")
+
+    def marked(batches):
+        rolling = Rolling()
+        for pdf in batches:
+            x = [labelled(shingles(words_of(t), rolling)).view(np.int64) for t in pdf["text"]]
+            yield pd.DataFrame({"node": pdf["node"], "comp": pdf["comp"], "n": [len(v) for v in x], "x": x})
+
+    sets = Stage(texts.join(open_, "node").mapInPandas(marked, "node long, comp long, n int, x array<long>"), "sets").df
+    each = sets.select("node", "comp", "n", F.explode("x").alias("x"))
+    often = Stage(each.groupBy("x").agg(F.count("*").alias("f")).filter("f > 1"), "often").df
+    by = Window.partitionBy("node")
+    shared = each.join(often, "x").withColumn("r", F.row_number().over(by.orderBy("f", "x"))).withColumn("c", F.count("*").over(by))
+    place = F.col("n") - F.col("c") + F.col("r") - 1  # shingles that no other text holds come first
+    early = shared.withColumn("i", place.cast("int")).filter(F.col("i") <= F.col("n") - F.ceil(similarity * F.col("n") - F.lit(1e-9)))
+    early = Stage(early.select("x", "node", "comp", "n", "i"), "early").df
+    parts = early.groupBy("x", "comp").agg(F.count("*").alias("c")).groupBy("x")
+    parts = parts.agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count("*").alias("parts")).filter("parts > 1").drop("parts")
+    early = Stage(early.join(Stage(parts, "parts").df, "x"), "early").df
+    few = early.filter("comp <> most").drop("most")  # every pair of two components has a text outside the shingle's largest one
+    every = early.select("x", F.col("node").alias("other"), F.col("comp").alias("there"), F.col("n").alias("m"), F.col("i").alias("j"), (F.col("comp") == F.col("most")).alias("large"))
+    need = F.ceil(similarity / (1 + similarity) * (F.col("n") + F.col("m")) - F.lit(1e-9))
+    fits = (F.col("i") <= F.col("n") - need) & (F.col("j") <= F.col("m") - need) & (F.col("comp") != F.col("there")) & (F.col("large") | (F.col("node") < F.col("other")))
+    pairs = few.join(every, "x").filter(fits)
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -210,35 +222,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     base = base.withColumn("ord", F.coalesce("id", unnamed))
     rows = Stage(_sketches(base), "sketches").df
 
-    same = rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("ord").alias("node"))
+    # Written first, so that the joins deal both sides out themselves and Spark can split a large group of copies; so everywhere below.
+    same = Stage(rows.filter("n > 0").groupBy("k1", "k2").agg(F.min("ord").alias("node")), "same").df
     own = rows.join(same.withColumnRenamed("node", "ord"), ["k1", "k2", "ord"], "left_semi")
     reps = Stage(own.dropDuplicates(["ord"]).select(F.col("ord").alias("node"), "n", "marks", "omh"), "texts").df
 
     keys = reps.select("node", F.explode("omh").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = Stage(keys.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1"), "sizes").df
     shared = Stage(keys.join(sizes, "key"), "buckets").df
-    scores = shared.groupBy("node").agg(F.sum("size").alias("score"))
+    scores = Stage(shared.groupBy("node").agg(F.sum("size").alias("score")), "scores").df
     members = Stage(shared.drop("size").join(scores, "node"), "members").df
     texts = Stage(base.select(F.col("ord").alias("node"), "text").join(scores.select("node"), "node").dropDuplicates(["node"]), "texts").df
     marks = reps.select("node", "n", "marks").join(scores.select("node"), "node")
 
-    links = comps = None
-    active = members
-    for step in range(3):
-        led = Stage(_with_leader(active), "led").df
-        new = _verified(_likely(led, marks, similarity), texts, similarity)
-        links = Stage(new if links is None else links.unionByName(new), "links").df
-        comps = Stage(components(links), "components").df
-        if step < 2:
-            active = Stage(_unjoined(led, active, comps), "active").df
-        if step == 1:
-            other = members.select("node", F.col("key").alias("other"))
-            active = active.join(other, "node").filter("key <> other")
-            pair: Column = F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))
-            active = Stage(active.select("node", "score", pair.alias("key")).distinct(), "active").df
-    rest = Stage(_open_pairs(members, comps, marks.select("node", "n"), similarity).distinct(), "open").df
-    new = _verified(_likely(rest, marks, similarity), texts, similarity)
-    comps = Stage(components(Stage(links.unionByName(new), "links").df), "components").df
+    links = Stage(_verified(Stage(_likely(_with_leader(members), marks, similarity), "likely").df, texts, similarity), "links").df
+    comps = Stage(components(links), "components").df
+    pairs = Stage(_prefix_pairs(Stage(_unsettled(members, comps), "open").df, texts, similarity), "pairs").df
+    comps = Stage(components(links.unionByName(_verified(pairs, texts, similarity))), "components").df
 
     named = rows.join(same.withColumnRenamed("node", "rep"), ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("ord")))
     named = named.select("ord", "node").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))

@@ -307,6 +307,46 @@ def test_a_drifting_chain_is_one_class(spark):
     assert classes == {0: 1200}
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables aren't here")
+def test_near_duplicates_of_ten_thousand_documents(spark):
+    """No link of the whole table is lost: all pairs by a plain join on the shingles that can't all be missed, aligned one by one."""
+    import pandas as pd
+
+    docs = pd.read_parquet(f"{SF}/documents.parquet")[["doc_id", "text"]].dropna()
+    keys = docs["text"].map(lambda t: b" ".join(near_duplicates.words_of(t)))
+    docs = docs[keys != b""].assign(key=keys)
+    first = docs.sort_values("doc_id").groupby("key")["doc_id"].transform("min")
+    reps = docs[docs["doc_id"] == first]
+    rolling = near_duplicates.Rolling()
+    plain = {i: near_duplicates.shingles(near_duplicates.words_of(t), rolling) for i, t in zip(reps["doc_id"], reps["text"])}
+    sets = {i: near_duplicates.labelled(x) for i, x in plain.items()}
+    known, counts = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+    rows = []
+    for i, x in sets.items():
+        often = counts[np.searchsorted(known, x)]
+        order = np.lexsort((x, often))[: len(x) - int(np.ceil(0.8 * len(x) - 1e-9)) + 1]
+        rows += [(int(x[k]), i) for k in order if often[k] > 1]
+    t = pd.DataFrame(rows, columns=["x", "i"])
+    met = t.merge(t, on="x")
+    met = met[met["i_x"] < met["i_y"]][["i_x", "i_y"]].drop_duplicates()
+    group = {i: i for i in sets}
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a, b in met.itertuples(index=False):
+        x, y = plain[a], plain[b]
+        need = near_duplicates.needed(len(x), len(y))
+        if min(len(x), len(y)) >= need and len(np.intersect1d(sets[a], sets[b], assume_unique=True)) >= need and near_duplicates.aligned(x, y, need) >= need:
+            ra, rb = root(a), root(b)
+            group[max(ra, rb)] = min(ra, rb)
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates.near_duplicates(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    assert all(got[i] == root(f) for i, f in zip(docs["doc_id"], first))
+    assert len(got) == spark.read.parquet(f"{SF}/documents.parquet").count() and all(got[i] == i for i in set(got) - set(docs["doc_id"]))
+
+
 def test_common_toxic_words_and_phrases_stand_out():
     rng = random.Random(17)
     toxic = [[b"p%d" % rng.randrange(10**6), *([b"zorkel"] if i < 1000 else []), b"q%d" % rng.randrange(10**6), b"get", b"lost", b"z%d" % rng.randrange(10**6)] for i in range(1500)]
