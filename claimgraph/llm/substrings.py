@@ -121,14 +121,14 @@ def remove_repeats(
     anchors_stage = Stage(base.drop("id").mapInPandas(first_pass, schema), "anchors")
     rows = Stage(anchors_stage.df.select("ord", "t", "n_words", "sha", "md"), "rows").df
 
-    # Later exact copies (same words): settled here.
+    # Later exact copies (same words): settled here. Counts are written first, so that the join deals both sides out itself and Spark can split a
+    # hot key; so for the anchors and the windows below.
     long_rows = rows.filter(F.col("n_words") >= window)
-    firsts = long_rows.groupBy("md").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = Stage(long_rows.groupBy("md").agg(F.min("ord").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts").df
     copies = long_rows.select("ord", "t", "md").join(firsts, "md").filter("ord > first").select("ord", "t").distinct()
     copies = Stage(copies, "copies").df
 
     anchors = anchors_stage.df.filter(F.col("n_words") >= window).join(copies, ["ord", "t"], "left_anti").selectExpr("ord", "t", "inline(arrays_zip(g, lo, hi))")
-    # Written first, so that the join deals both sides out itself and Spark can split a hot key; so for the windows below.
     repeated = Stage(anchors.groupBy("g").agg(F.count("*").alias("n")).filter("n > 1").select("g"), "repeated").df
     ranges = anchors.join(repeated, "g").groupBy("ord", "t").agg(F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi"))
     texts = base.filter(F.octet_length("text") >= 2 * window - 1).select("ord", "t", "text")
