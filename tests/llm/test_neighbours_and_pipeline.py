@@ -158,3 +158,17 @@ def test_the_graph_keeps_the_vectors_scale(spark, kind):
         x[7] = 1e7
     x = {"offset": 500 + 0.1 * x, "tiny": x * np.float32(1e-25)}.get(kind, x).astype(np.float32)
     assert _graph_share(spark, x, 100) >= 0.95
+
+
+def test_doubles_stay_doubles(spark):
+    """Vectors that float32 can't tell apart."""
+    x = 1e6 + np.random.default_rng(8).standard_normal((600, 8)) * 1e-3
+    table = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [0, 100, 200, 300]
+    got: dict = {}
+    for r in neighbours.nearest(table, spark.createDataFrame([(i,) for i in asked], "row long")).collect():
+        got.setdefault(r["query_id"], []).append((r["score"], r["vec_id"]))
+    for q in asked:
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        want = [int(i) for i in np.lexsort((np.arange(len(x)), d)) if i != q][:10]
+        assert len({v for _, v in got[q]} & set(want)) >= 9 and all(s == d[v] for s, v in got[q])
