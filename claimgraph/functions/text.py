@@ -15,6 +15,13 @@ DESCRIPTION_CAP = 600
 #: Characters with a meaning in a query language; searched as blanks.
 QUERY_CHARACTERS = '+-&|!(){}[]^"~*?:\\/'
 
+#: What a strip takes off: every white-space character.
+WHITE = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+
+
+def strip(text: Column) -> Column:
+    return F.trim(text, F.lit(WHITE))
+
 
 def name_key(name: Column) -> Column:
     """The key of exact lookups: lower case, not trimmed."""
@@ -23,17 +30,18 @@ def name_key(name: Column) -> Column:
 
 def batch_key(name: Column) -> Column:
     """The key of a batch's own duplicates: trimmed, lower case."""
-    return F.lower(F.trim(name))
+    return F.lower(strip(name))
 
 
 def is_unnamed(name: Column) -> Column:
     """A pronoun, or an all-lower-case phrase that a determiner opens."""
-    n = F.trim(name)
+    n = strip(name)
     return F.lower(n).isin(PRONOUNS) | ((F.lower(n) == n) & n.rlike("^(" + "|".join(GENERIC_OPENINGS) + ") "))
 
 
 def evaluated_name(name: Column) -> Column:
     """Entity names as evaluation compares them; everything outside a-z, 0-9 becomes a gap."""
+    #: The patterns of these two functions, which decide what counts as the same.
     n = F.regexp_replace(F.lower(name), r"\([^)]*\)", " ")
     n = F.regexp_replace(F.regexp_replace(n, "[^a-z0-9 ]+", " "), r"\s+", " ")
     return F.regexp_replace(F.trim(n), "^the ", "")
@@ -62,7 +70,7 @@ def fact_text(subject: Column, predicate: Column, object_: Column, valid_from: C
     bounded = valid_from.isNotNull() | valid_to.isNotNull()
     window = F.when(bounded, F.concat(F.lit(" · "), F.coalesce(valid_from, F.lit("")), F.lit("→"), F.coalesce(valid_to, F.lit("")))).otherwise("")
     said = F.array_join(F.slice(F.coalesce(quotes, F.array().cast("array<string>")), 1, 3), " ")
-    return F.trim(F.concat(subject, F.lit(" "), predicate, F.lit(" "), object_, window, F.lit(" "), said))
+    return strip(F.concat(subject, F.lit(" "), predicate, F.lit(" "), object_, window, F.lit(" "), said))
 
 
 def entity_text(name: Column, description: Column) -> Column:
@@ -71,7 +79,7 @@ def entity_text(name: Column, description: Column) -> Column:
 
 def merged_description(old: Column, new: Column) -> Column:
     """Null if the new text adds nothing; the new one if it covers the old; else both, the old first. At most 600 characters."""
-    o, n = F.trim(F.coalesce(old, F.lit(""))), F.trim(F.coalesce(new, F.lit("")))
+    o, n = strip(F.coalesce(old, F.lit(""))), strip(F.coalesce(new, F.lit("")))
     joined = F.concat(F.rtrim(o, F.lit(".")), F.lit(". "), n)
     return F.when((n == "") | F.contains(F.lower(o), F.lower(n)), None).otherwise(
         F.substring(F.when(F.contains(F.lower(n), F.lower(o)), n).otherwise(joined), 1, DESCRIPTION_CAP)
@@ -79,7 +87,7 @@ def merged_description(old: Column, new: Column) -> Column:
 
 
 def searchable(query: Column) -> Column:
-    return F.trim(F.translate(query, QUERY_CHARACTERS, " " * len(QUERY_CHARACTERS)))
+    return strip(F.translate(query, QUERY_CHARACTERS, " " * len(QUERY_CHARACTERS)))
 
 
 def tokens(text: Column) -> Column:

@@ -1,22 +1,27 @@
 """Committing approved ops: order, preconditions, effects, ledger.
 
-Patches that touch no common key are independent, so ops are folded per connected group of patches and keys; within a
+Patches are independent unless one writes what another reads or writes; that two patches mention one entity doesn't link them, as entities never go.
+So ops are folded per connected group of patches and written keys; within a
 group they run one after the other on the few rows they touch, and give effects, which are then applied by joins.
 Deliberate choices: an absent dependency blocks; ops behind a pending one stay approved and wait; an edge whose ends are
-missing is requeued; a cycle is an error; properties of an edge never overwrite its fields; ids are hashes of patch and op.
+missing is requeued; properties of an edge never overwrite its fields; ids are hashes of patch and op. What can't be applied is a status and stops
+no other patch: an op of an unknown kind, a split, and all ops of a patch whose dependencies are a cycle are ``failed``; an unknown precondition doesn't hold.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from graphlib import TopologicalSorter
+from graphlib import CycleError, TopologicalSorter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKING = ("rejected", "requeued", "blocked")
+from claimgraph.operators.links import components
+from claimgraph.operators.links import cut as _cut
+
+BLOCKING = ("rejected", "requeued", "blocked", "failed")
 _STATE = "kind string, key string, row string"
 _EFFECTS = "kind string, key string, seq int, row string"
 
@@ -25,31 +30,45 @@ def _minted(kind: str, patch: str, key: str) -> str:
     return f"{kind}_{hashlib.sha1(f'{patch}:{key}'.encode()).hexdigest()[:16]}"
 
 
-def closure(ops: DataFrame, most: int = 50) -> DataFrame:
+def closure(ops: DataFrame) -> DataFrame:
     """(patch_id, op_id) of approved ops whose whole chain of dependencies is approved or committed and present.
 
-    Ops that depend on a bad one are marked in rounds until none is left; rounds are as many as the longest chain.
+    Chains lie within patches, so the ops are dealt by patch, once, and each patch's are followed to the end; an op on a cycle is in none.
     """
-    deps = ops.select("patch_id", "op_id", F.explode("depends_on").alias("dep"))
-    good = ops.filter(F.col("status").isin("approved", "committed")).select("patch_id", F.col("op_id").alias("dep"))
-    bad = deps.join(good, ["patch_id", "dep"], "left_anti").select("patch_id", "op_id").distinct()
-    for _ in range(most):
-        more = deps.join(bad.withColumnRenamed("op_id", "dep"), ["patch_id", "dep"]).select("patch_id", "op_id").distinct().join(bad, ["patch_id", "op_id"], "left_anti")
-        more = _cut(more)
-        if more.isEmpty():
-            break
-        bad = _cut(bad.unionByName(more))
-    return ops.filter("status = 'approved'").select("patch_id", "op_id").join(bad, ["patch_id", "op_id"], "left_anti")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="claimgraph-"))
-    return df.checkpoint()
+    kinds = [ops.schema[c].dataType.simpleString() for c in ("patch_id", "op_id")]
+
+    def good(rows: list) -> list:
+        needs = {r.op_id: [] if r.depends_on is None else list(r.depends_on) for r in rows if r.status in ("approved", "committed")}
+        waits = {k: len(set(v)) for k, v in needs.items()}
+        behind: dict = {}
+        for k, v in needs.items():
+            for d in set(v):
+                behind.setdefault(d, []).append(k)
+        ready = [k for k, n in waits.items() if not n]
+        done = set()
+        while ready:
+            k = ready.pop()
+            done.add(k)
+            for other in behind.get(k, ()):
+                waits[other] -= 1
+                if not waits[other]:
+                    ready.append(other)
+        return [(r.patch_id, r.op_id) for r in rows if r.status == "approved" and r.op_id in done]
+
+    def run(batches):
+        rows: list = []
+        for pdf in batches:
+            out: list = []
+            for r in pdf.itertuples():
+                if rows and rows[0].patch_id != r.patch_id:
+                    out += good(rows)
+                    rows = []
+                rows.append(r)
+            yield pd.DataFrame(out, columns=["patch_id", "op_id"])
+        yield pd.DataFrame(good(rows), columns=["patch_id", "op_id"])
+
+    dealt = ops.select("patch_id", "op_id", "depends_on", "status").repartition("patch_id").sortWithinPartitions("patch_id")
+    return dealt.mapInPandas(run, f"patch_id {kinds[0]}, op_id {kinds[1]}")
 
 
 def preconditions(checks: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame:
@@ -117,7 +136,7 @@ class Fold:
             node = self.get("entity", subject)
             prop = expected.get("prop")
             return node is not None and (node.get(prop) if prop in ("name", "description") else node["props"].get(prop)) == expected.get("value")
-        raise ValueError(f"unknown precondition {kind}")
+        return False
 
     def register(self, op: dict) -> None:
         """What later ops of the patch refer to."""
@@ -126,7 +145,8 @@ class Fold:
         elif op["op"] == "merge_into":
             self.ids[op["patch_id"], op["temp_id"]] = op["canonical_id"]
 
-    def apply(self, op: dict, doc_id: str | None, run_id: str | None, at: str) -> bool:
+    def apply(self, op: dict, doc_id: str | None, run_id: str | None, at: str) -> bool | None:
+        """Whether it took effect; None if it never can."""
         kind, patch, props, node_id, edge_id = op["op"], op["patch_id"], dict(op.get("props") or {}), None, None
         if kind == "create_node":
             node_id = _minted("can", patch, op["op_id"])
@@ -161,7 +181,7 @@ class Fold:
                 quotes, quote = list(edge["quotes"] or []), (op.get("quote") or "").strip()
                 self.put("edge", edge_id, edge | {"support": (edge["support"] or 1) + 1, "quotes": quotes + ([op["quote"]] if quote and op["quote"] not in quotes else [])})
         else:
-            raise ValueError(f"op {kind} can't be applied")
+            return None
         self.register(op)
         self.put("ledger", op["op_id"], {"op_id": op["op_id"], "patch_id": patch, "doc_id": doc_id, "run_id": run_id, "at": at, "node_id": node_id, "edge_id": edge_id})
         return True
@@ -176,7 +196,12 @@ def fold(ops: list[dict], patches: dict[str, dict], rows: dict[tuple[str, str],
     for patch in sorted(by_patch, key=lambda p: ((patches.get(p) or {}).get("created_at") or "", p)):
         mine = {o["op_id"]: o for o in by_patch[patch]}
         known = patches.get(patch) or {}
-        for op_id in TopologicalSorter({k: [d for d in (o["depends_on"] or []) if d in mine] for k, o in mine.items()}).static_order():
+        try:
+            order = list(TopologicalSorter({k: [d for d in (o["depends_on"] or []) if d in mine] for k, o in mine.items()}).static_order())
+        except CycleError:
+            status.update({k: "failed" for k in mine})
+            continue
+        for op_id in order:
             op = mine[op_id]
             deps = [status[d] if d in mine else "absent" for d in (op["depends_on"] or [])]
             if state.get("ledger", op_id) is not None:
@@ -191,38 +216,51 @@ def fold(ops: list[dict], patches: dict[str, dict], rows: dict[tuple[str, str],
             elif not all(state.check(patch, p) for p in (op["preconditions"] or [])):
                 status[op_id] = "requeued"
             else:
-                status[op_id] = "committed" if state.apply(op, known.get("doc_id"), known.get("run_id"), at) else "requeued"
+                status[op_id] = {True: "committed", False: "requeued", None: "failed"}[state.apply(op, known.get("doc_id"), known.get("run_id"), at)]
     return status, state.effects
 
 
-def _keys(op_rows: DataFrame) -> DataFrame:
-    """(patch_id, key) of everything that a patch's ops touch."""
+def _triple(subject: Column, predicate: Column, object_: Column) -> Column:
+    return F.concat(F.lit("triple:"), subject, F.lit("|"), predicate, F.lit("|"), object_)
+
+
+def _keys(op_rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(patch_id, key, writes) of everything that a patch's ops touch."""
     e = lambda k: F.try_element_at("p.expected", F.lit(k))
     of = lambda kind, c: F.concat(F.lit(kind + ":"), c)
-    direct = op_rows.select("patch_id", F.explode(F.array(
-        of("entity", F.col("canonical_id")), of("edge", F.col("edge_id")), of("entity", F.col("subject.canonical_id")), of("entity", F.col("object.canonical_id")),
-        of("ledger", F.col("op_id")), F.when(F.col("op") == "create_node", of("name", F.lower(F.coalesce(F.try_element_at("props", F.lit("name")), "temp_id")))),
-        F.when(F.col("op") == "assert_edge", F.concat_ws("|", F.lit("triple:"), F.col("subject.canonical_id"), "predicate", F.col("object.canonical_id"))),
-    )).alias("key"))
+    key = lambda c, writes: F.struct(c.alias("key"), F.lit(writes).alias("writes"))
+    is_ = lambda *kinds: F.col("op").isin(*kinds)
+    merged = op_rows.filter(is_("merge_into")).select(F.col("patch_id").alias("_p"), F.col("temp_id").alias("_t"), F.col("canonical_id").alias("_c")).dropDuplicates(["_p", "_t"])
+    rows = op_rows
+    for end in ("subject", "object"):  # an end that the patch merges is the node that it is merged into; one that it creates is nobody else's
+        to = merged.withColumnRenamed("_c", f"_{end}")
+        rows = rows.join(to, (F.col("patch_id") == F.col("_p")) & (F.col(f"{end}.temp_id") == F.col("_t")), "left").drop("_p", "_t")
+    triple = _triple(F.coalesce("subject.canonical_id", "_subject"), F.col("predicate"), F.coalesce("object.canonical_id", "_object"))
+    direct = rows.select("patch_id", F.explode(F.array(
+        key(of("entity", F.when(is_("update_node_props"), F.col("canonical_id"))), True), key(of("entity", F.when(~is_("update_node_props"), F.col("canonical_id"))), False),
+        key(of("edge", F.col("edge_id")), True), key(of("entity", F.col("subject.canonical_id")), False), key(of("entity", F.col("object.canonical_id")), False),
+        key(of("ledger", F.col("op_id")), True), key(F.when(is_("create_node"), of("name", F.lower(F.coalesce(F.try_element_at("props", F.lit("name")), "temp_id")))), True),
+        key(F.when(is_("update_node_props"), of("name", F.lower(F.try_element_at("props", F.lit("name"))))), True), key(F.when(is_("assert_edge"), triple), True),
+    )).alias("k")).select("patch_id", "k.*")
     checked = op_rows.select("patch_id", F.explode("preconditions").alias("p")).select("patch_id", F.explode(F.array(
         F.when(F.col("p.kind") == "name_absent", of("name", F.lower("p.subject"))), F.when(F.col("p.kind").isin("node_exists", "prop_equals"), of("entity", F.col("p.subject"))),
         F.when(F.col("p.kind") == "edge_exists", of("edge", F.col("p.subject"))),
-        F.when(F.col("p.kind") == "edge_absent", F.concat_ws("|", F.lit("triple:"), e("subject_id"), e("predicate"), e("object_id"))),
-    )).alias("key"))
-    return direct.unionByName(checked).filter("key IS NOT NULL").distinct()
+        F.when(F.col("p.kind") == "edge_absent", _triple(e("subject_id"), e("predicate"), e("object_id"))),
+    )).alias("key")).withColumn("writes", F.lit(False))
+    # Closing an edge opens its triple for others.
+    closed = op_rows.filter(is_("invalidate_edge")).select("patch_id", F.col("edge_id").alias("id")).join(edges.select("id", "subject_id", "predicate", "object_id"), "id")
+    closed = closed.select("patch_id", _triple(F.col("subject_id"), F.col("predicate"), F.col("object_id")).alias("key"), F.lit(True).alias("writes"))
+    every = direct.unionByName(checked).unionByName(closed).filter("key IS NOT NULL")
+    return every.groupBy("patch_id", "key").agg(F.max("writes").alias("writes"))
 
 
-def groups(keys: DataFrame, most: int = 30) -> DataFrame:
-    """(patch_id, grp): patches that share keys, also through others, are one group. Smallest labels spread until none changes."""
-    labels = _cut(keys.select("patch_id").distinct().withColumn("grp", F.col("patch_id")))
-    for _ in range(most):
-        low = keys.join(labels, "patch_id").groupBy("key").agg(F.min("grp").alias("g"))
-        new = keys.join(low, "key").groupBy("patch_id").agg(F.min("g").alias("grp"))
-        new = _cut(new)
-        if new.join(labels.withColumnRenamed("grp", "old"), "patch_id").filter("grp <> old").isEmpty():
-            return new
-        labels = new
-    raise RuntimeError("patches are linked in longer chains than commit follows; raise `most`")
+def groups(keys: DataFrame) -> DataFrame:
+    """(patch_id, grp): patches are one group if one writes a key that the other reads or writes, also through others."""
+    written = keys.filter("writes").select("key").distinct()
+    first = keys.join(written, "key").groupBy("key").agg(F.min("patch_id").alias("v"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    linked = components(keys.join(first, "key").select(F.col("patch_id").alias("u"), "v"))
+    every = keys.select("patch_id").distinct().join(linked.withColumnRenamed("node", "patch_id"), "patch_id", "left")
+    return every.withColumn("grp", F.coalesce("grp", "patch_id"))
 
 
 def commit(tables: dict[str, DataFrame], at: str) -> tuple[dict[str, DataFrame], DataFrame]:
@@ -232,15 +270,15 @@ def commit(tables: dict[str, DataFrame], at: str) -> tuple[dict[str, DataFrame],
     """
     todo = tables["patches"].filter("status <> 'committed'").select("patch_id", "doc_id", "run_id", "created_at")
     ops = tables["patch_ops"].join(todo.select("patch_id"), "patch_id", "left_semi")
-    keys = _keys(ops)
-    grouped = groups(keys)
+    keys = _keys(ops, tables["edges"])
+    grouped = _cut(groups(keys))
     wanted = keys.join(grouped, "patch_id").select("grp", "key").distinct()
     row = lambda df: F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("row")
     ent, edg, led = tables["entities"], tables["edges"], tables["ledger"]
     state = ent.select(F.concat(F.lit("entity:"), "id").alias("key"), F.lit("entity").alias("kind"), F.col("id").alias("id"), row(ent))
     state = state.unionByName(ent.select(F.concat(F.lit("name:"), F.lower("name")).alias("key"), F.lit("entity").alias("kind"), F.col("id").alias("id"), row(ent)))
     state = state.unionByName(edg.select(F.concat(F.lit("edge:"), "id").alias("key"), F.lit("edge").alias("kind"), F.col("id").alias("id"), row(edg)))
-    state = state.unionByName(edg.select(F.concat_ws("|", F.lit("triple:"), "subject_id", "predicate", "object_id").alias("key"), F.lit("edge").alias("kind"), F.col("id").alias("id"), row(edg)))
+    state = state.unionByName(edg.select(_triple(F.col("subject_id"), F.col("predicate"), F.col("object_id")).alias("key"), F.lit("edge").alias("kind"), F.col("id").alias("id"), row(edg)))
     state = state.unionByName(led.select(F.concat(F.lit("ledger:"), "op_id").alias("key"), F.lit("ledger").alias("kind"), F.col("op_id").alias("id"), row(led)))
     rows = wanted.join(state, "key").select("grp", "kind", F.col("id").alias("key"), "row").dropDuplicates(["grp", "kind", "key"])
     rows = rows.unionByName(todo.join(grouped, "patch_id").select("grp", F.lit("patch").alias("kind"), F.col("patch_id").alias("key"), row(todo)))
@@ -267,7 +305,7 @@ def commit(tables: dict[str, DataFrame], at: str) -> tuple[dict[str, DataFrame],
     after = tables["patch_ops"].join(told, "op_id", "left").withColumn("status", F.coalesce("new_status", "status"))
     new["patch_ops"] = after.select(*tables["patch_ops"].columns)
     waits = (F.col("route") == "review") & (F.col("status") == "pending")
-    state_of = F.when(F.count_if(waits) > 0, "pending").when(F.count_if(F.col("status") == "requeued") > 0, "requeued").otherwise("committed")
+    state_of = F.when(F.count_if(waits) > 0, "pending").when(F.count_if(F.col("status").isin("requeued", "failed")) > 0, "requeued").otherwise("committed")
     per = new["patch_ops"].groupBy("patch_id").agg(state_of.alias("_s"))
     new["patches"] = tables["patches"].join(per, "patch_id", "left").withColumn("status", F.coalesce("_s", "status")).select(*tables["patches"].columns)
     return new, after.filter("new_status IS NOT NULL").select("patch_id", "op_id", "status")

@@ -17,8 +17,9 @@ def exact(new: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def collisions(new: DataFrame, edges: DataFrame) -> DataFrame:
-    """(fact_id, edge_id, side): open edges with the same subject and predicate but another object, or the same object and predicate but
-    another subject. Two equi-joins, each with an inequality; a null end differs from every end."""
+    """(fact_id, edge_id, side, np, old_from, new_from): open edges with the same subject and predicate but another object, or the same object and
+    predicate but another subject. Two equi-joins, each with an inequality; a null end differs from every end. It lists pairs, so it is for
+    predicates whose collisions are to be acted on one by one; ``correlate`` counts without listing."""
     held = edges.filter(holds()).select(F.col("id").alias("edge_id"), "subject_id", "object_id", "predicate", F.col("valid_from").alias("old_from"))
     n = new.select("fact_id", F.col("subject_id").alias("ns"), F.col("object_id").alias("no"), F.col("predicate").alias("np"), F.col("valid_from").alias("new_from"))
     out = n.join(held, (n.ns == held.subject_id) & (n.np == held.predicate)).filter(~F.col("no").eqNullSafe(F.col("object_id"))).withColumn("side", F.lit("object"))
@@ -29,19 +30,31 @@ def collisions(new: DataFrame, edges: DataFrame) -> DataFrame:
 def by_rule(predicate: Column, old_from: Column, new_from: Column, many_valued: list[str]) -> Column:
     """The default judgement: predicates with many values extend; a later stated start supersedes; anything else is a contradiction."""
     later = new_from.isNotNull() & (old_from.isNull() | (new_from > old_from))
-    return F.when(predicate.isin(many_valued), "extends").when(later, "contradicts_temporal").otherwise("contradicts_semantic")
+    return F.when(predicate.isin(list(many_valued)), "extends").when(later, "contradicts_temporal").otherwise("contradicts_semantic")
 
 
-def correlate(new: DataFrame, edges: DataFrame, judgement=None, many_valued: list[str] = ()) -> DataFrame:
-    """``new`` (fact_id, subject_id, predicate, object_id, valid_from) with edge_id (if reinforced), n_collisions and correlation."""
+def correlate(new: DataFrame, edges: DataFrame, many_valued: list[str] = ()) -> DataFrame:
+    """``new`` (fact_id, subject_id, predicate, object_id, valid_from) with edge_id (if reinforced), n_collisions and the worst outcome by the rule.
+
+    The rule needs no pair: of each side, how many open edges share the end and the predicate, and the latest start among them, decide. So a hot end
+    (a country, a priority) costs one aggregated row. A fact that no open edge states has none of its own triple among those counted.
+    """
     same = exact(new, edges)
-    met = collisions(new.join(same, "fact_id", "left_anti"), edges)
-    judged = met.withColumn("outcome", by_rule(F.col("np"), F.col("old_from"), F.col("new_from"), list(many_valued))) if judgement is None else judgement(met)
+    open_ = edges.filter(holds())
+    out = new.join(same, "fact_id", "left")
+    for end, n, latest in (("subject_id", "_n1", "_l1"), ("object_id", "_n2", "_l2")):
+        per = open_.groupBy(end, "predicate").agg(F.count("*").alias(n), F.max("valid_from").alias(latest))
+        out = out.join(per, [end, "predicate"], "left")
+    n = F.when(F.col("edge_id").isNotNull(), 0).otherwise(F.coalesce("_n1", F.lit(0)) + F.coalesce("_n2", F.lit(0)))
+    worst = by_rule(F.col("predicate"), F.greatest("_l1", "_l2"), F.col("valid_from"), many_valued)
+    kind = F.when(F.col("edge_id").isNotNull(), "reinforces").when(n > 0, worst).otherwise("new")
+    return out.select(*new.columns, "edge_id", n.cast("long").alias("n_collisions"), kind.alias("correlation"))
+
+
+def judged_worst(judged: DataFrame) -> DataFrame:
+    """(fact_id, n_collisions, correlation) from judged pairs (fact_id, outcome): the worst outcome of each fact."""
     severity = F.create_map(*[x for k, v in SEVERITY.items() for x in (F.lit(k), F.lit(v))])
-    worst = judged.groupBy("fact_id").agg(F.count("*").alias("n_collisions"), F.max_by("outcome", severity[F.col("outcome")]).alias("worst"))
-    out = new.join(same, "fact_id", "left").join(worst, "fact_id", "left")
-    kind = F.when(F.col("edge_id").isNotNull(), "reinforces").otherwise(F.coalesce("worst", F.lit("new")))
-    return out.withColumn("n_collisions", F.coalesce("n_collisions", F.lit(0))).withColumn("correlation", kind).drop("worst")
+    return judged.groupBy("fact_id").agg(F.count("*").alias("n_collisions"), F.max_by("outcome", severity[F.col("outcome")]).alias("correlation"))
 
 
 def adjudicated(judged: DataFrame, run_date: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimgraph.operators.temporal import facts, holds
@@ -35,7 +35,7 @@ def edges_to(edges: DataFrame, keys: DataFrame, entities: DataFrame) -> DataFram
     return found.join(entities.select(F.col("id").alias("subject_id"), F.col("name").alias("subject")), "subject_id")
 
 
-def _steps(edges: DataFrame) -> DataFrame:
+def steps(edges: DataFrame) -> DataFrame:
     """Both directions of every edge: (at, to, id)."""
     out = edges.select(F.col("subject_id").alias("at"), F.col("object_id").alias("to"), "id")
     return out.unionByName(edges.select(F.col("object_id").alias("at"), F.col("subject_id").alias("to"), "id")).distinct()
@@ -46,11 +46,11 @@ def walk(edges: DataFrame, anchors: DataFrame, hops: int = 2) -> tuple[DataFrame
 
     The number of hops is a small constant, so the walk is unrolled into joins; a frontier is what was met last and not before.
     """
-    steps = _steps(edges)
+    ways = steps(edges)
     seen = anchors.select("id").distinct().withColumn("hop", F.lit(0))
     frontier, met = seen, None
     for hop in range(1, hops + 1):
-        out = steps.join(frontier.select(F.col("id").alias("at")), "at")
+        out = ways.join(frontier.select(F.col("id").alias("at")), "at")
         found = out.select("id").distinct().withColumn("hop", F.lit(hop))
         met = found if met is None else met.unionByName(found)
         frontier = out.select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop))
@@ -98,6 +98,31 @@ def vocabulary(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return kinds.unionByName(edges.select(F.lit("predicate").alias("kind"), F.col("predicate").alias("value")).distinct())
 
 
+def incident(edges: DataFrame, entities: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Both directions of the edges at each node (node_id): edge_id, predicate, other, outgoing, window, support, quotes, reason; ``n`` gives the
+    order, open ones first, then by predicate and id. An edge from a node to itself comes once."""
+    ends = entities.select(F.col("id").alias("other_id"), F.col("name").alias("other"))
+    shown = ["predicate", "valid_from", "valid_to", *[c for c in ("support", "quotes", "invalidation_reason") if c in edges.columns]]
+    out = edges.select(F.col("id").alias("edge_id"), F.col("subject_id").alias("node_id"), F.col("object_id").alias("other_id"), F.lit(True).alias("outgoing"), *shown)
+    back = edges.filter("subject_id <> object_id")
+    back = back.select(F.col("id").alias("edge_id"), F.col("object_id").alias("node_id"), F.col("subject_id").alias("other_id"), F.lit(False).alias("outgoing"), *shown)
+    rows = out.unionByName(back).join(nodes.select("node_id").distinct(), "node_id", "left_semi").join(ends, "other_id")
+    order = Window.partitionBy("node_id").orderBy(F.col("valid_to").isNotNull(), "predicate", "edge_id")
+    return rows.withColumn("n", F.row_number().over(order))
+
+
+def written(ledger: DataFrame, nodes: DataFrame, documents: DataFrame) -> DataFrame:
+    """(node_id, n, op_id, patch_id, doc_id, source, at): the ops that wrote each node (node_id), by time and op."""
+    rows = ledger.join(nodes.select("node_id").distinct(), "node_id", "left_semi").join(documents.select("doc_id", F.col("source_uri").alias("source")), "doc_id", "left")
+    order = Window.partitionBy("node_id").orderBy("at", "op_id")
+    return rows.select("node_id", F.row_number().over(order).alias("n"), "op_id", "patch_id", "doc_id", "source", "at")
+
+
+def decided(wrote: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The decisions on ops (op_id) that wrote something."""
+    return decisions.join(wrote.select("op_id").distinct(), "op_id", "left_semi")
+
+
 def provenance(edges: DataFrame, ledger: DataFrame, documents: DataFrame) -> DataFrame:
     """Edges with ``sources``: the distinct sorted uris of the documents whose ops wrote them (the id where a document is unknown)."""
     wrote = ledger.filter("edge_id IS NOT NULL").join(documents.select("doc_id", "source_uri"), "doc_id", "left")

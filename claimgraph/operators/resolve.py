@@ -60,25 +60,3 @@ def extended(old: Column, new: Column, old_description: Column) -> Column:
     has_old = F.coalesce(old_description, F.lit("")) != ""
     merged = F.when(has_old, merged_description(old_description, said)).otherwise(said)
     return F.when(F.map_contains_key(F.coalesce(new, empty), F.lit("description")) & merged.isNotNull(), F.map_concat(gaps, F.create_map(F.lit("description"), merged))).otherwise(gaps)
-
-
-def entity_ops(resolved: DataFrame, patch_id: str = "patch_id") -> DataFrame:
-    """One op a resolved candidate (patch_id, temp_id, name, entity_type, canonical_id, score, method): creates carry name_absent."""
-    made = F.col("canonical_id").isNull()
-    absent = F.array(F.struct(F.lit("name_absent").alias("kind"), F.col("name").alias("subject"), F.create_map().cast("map<string,string>").alias("expected")))
-    none = F.array().cast("array<struct<kind:string,subject:string,expected:map<string,string>>>")
-    kind = F.when(made, "create_node").when(F.col("method") == "rules", "update_node_props").otherwise("merge_into")
-    key = F.concat_ws(":", F.col(patch_id), kind, F.col("temp_id"))
-    return resolved.select(
-        patch_id, F.concat(F.lit("op_"), F.substring(F.sha1(key.cast("binary")), 1, 16)).alias("op_id"), kind.alias("op"), "temp_id", "canonical_id", "entity_type",
-        F.when(made, absent).otherwise(none).alias("preconditions"), F.when(made, 0.5).otherwise(F.col("score")).alias("resolution"), F.col("method").alias("match_method"),
-    )
-
-
-def one_update_each(updates: DataFrame) -> DataFrame:
-    """Updates of one canonical node in one patch as one: the first op, the first value of each property, all dependencies sorted."""
-    from claimgraph.operators.candidates import first_wins, in_order
-
-    ordered = in_order(F.collect_list(F.struct("pos", "props", "depends_on")))
-    out = updates.groupBy("patch_id", "canonical_id").agg(F.min_by("op_id", "pos").alias("op_id"), F.min("pos").alias("pos"), ordered.alias("o"))
-    return out.withColumn("props", first_wins(F.col("o.props"))).withColumn("depends_on", F.array_sort(F.array_distinct(F.flatten("o.depends_on")))).drop("o")

@@ -35,24 +35,48 @@ def embed(text: str) -> Column:
 
 def vector_table(rows: DataFrame, key: str, text: Column, embedder=embed) -> DataFrame:
     """(key, vector): each distinct text is embedded once."""
+    return text_vectors(rows, key, text, embedder).select("key", "vector")
+
+
+def text_vectors(rows: DataFrame, key: str, text: Column, embedder=embed) -> DataFrame:
+    """(key, text, vector)."""
     keyed = rows.select(F.col(key).alias("key"), text.alias("text"))
-    return keyed.join(keyed.select("text").distinct().withColumn("vector", embedder("text")), "text").select("key", "vector")
+    return keyed.join(keyed.select("text").distinct().withColumn("vector", embedder("text")), "text").select("key", "text", "vector")
+
+
+def upserted(stored: DataFrame, rows: DataFrame, key: str, text: Column, embedder=embed) -> DataFrame:
+    """A stored index (key, text, vector) brought up to date: only keys that are new or whose text changed are embedded, gone ones go."""
+    wanted = rows.select(F.col(key).alias("key"), text.alias("text"))
+    kept = stored.join(wanted, ["key", "text"], "left_semi").select("key", "text", "vector")
+    new = wanted.join(stored.select("key", "text"), ["key", "text"], "left_anti")
+    return kept.unionByName(text_vectors(new, "key", F.col("text"), embedder))
+
+
+QUERY_BLOCK = 1024
 
 
 def top_k(queries: DataFrame, index: DataFrame, k: int, floor: float | None = None, block: int = 4096) -> DataFrame:
     """(query_id, rank, key, score) from (query_id, vector) and (key, vector): the k best by cosine clamped to [0, 1], ties by key.
 
-    Queries meet the index in blocks: a block of the index's rows is one matrix, and gives its own k best for each query,
-    so that only k rows a query and block are shuffled.
+    Queries go in blocks of ``QUERY_BLOCK`` against all rows of the index: a block is shared with the executors, a block of the index's rows is one
+    matrix and gives its own k best for each query, so that no pair is a row and only k rows a query and index block are shuffled.
     """
-    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).collect() if queries.isLocal() else None
-    if asked is None:
-        return _joined_top_k(queries, index, k, floor)
-    ids = [r["query_id"] for r in asked]
-    q = np.array([r["v"] for r in asked], np.float64)
-    kind = queries.schema["query_id"].dataType.simpleString(), index.schema["key"].dataType.simpleString()
+    out, rows = None, queries.select("query_id", F.col("vector").cast("array<double>").alias("v")).toLocalIterator()
+    while asked := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
+        found = _block_top_k(asked, queries.schema["query_id"].dataType.simpleString(), index, k, block)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        empty = queries.select("query_id").limit(0).join(index.select("key").limit(0)).withColumn("score", F.lit(0.0))
+        return _ranked(empty, k, floor)
+    return _ranked(out, k, floor)
+
+
+def _block_top_k(asked: list, id_kind: str, index: DataFrame, k: int, block: int) -> DataFrame:
+    key_kind = index.schema["key"].dataType.simpleString()
+    shared = index.sparkSession.sparkContext.broadcast(([r["query_id"] for r in asked], np.array([r["v"] for r in asked], np.float64)))
 
     def best(batches):
+        ids, q = shared.value
         qn = np.linalg.norm(q, axis=1)
         for pdf in batches:
             for at in range(0, len(pdf), block):
@@ -65,15 +89,7 @@ def top_k(queries: DataFrame, index: DataFrame, k: int, floor: float | None = No
                     order = np.lexsort((keys, -row))[:k]
                     yield pd.DataFrame({"query_id": ids[i], "key": keys[order], "score": row[order]})
 
-    return _ranked(index.mapInPandas(best, f"query_id {kind[0]}, key {kind[1]}, score double"), k, floor)
-
-
-def _joined_top_k(queries: DataFrame, index: DataFrame, k: int, floor: float | None) -> DataFrame:
-    from claimgraph.functions.text import cosine
-
-    pairs = index.crossJoin(queries.withColumnRenamed("vector", "_q"))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(F.col("_q"), F.col("vector")))), 6)
-    return _ranked(pairs.select("query_id", "key", score.alias("score")), k, floor)
+    return index.select("key", "vector").mapInPandas(best, f"query_id {id_kind}, key {key_kind}, score double")
 
 
 def _ranked(scored: DataFrame, k: int, floor: float | None) -> DataFrame:

@@ -20,6 +20,7 @@ BOTH = ENTITIES_SQL + "," + EDGES_SQL
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
 _HOLDS = f"(valid_from IS NULL OR valid_from <= '{AS_OF}') AND (valid_to IS NULL OR valid_to > '{AS_OF}')"
+_WHITE = f"'{T.WHITE}'"
 _WORDS = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 
 
@@ -186,13 +187,39 @@ def fact_provenance(g):
 
 
 @query(
-    " SELECT e.id AS node_id, x.id AS edge_id, x.predicate, row_number() OVER (PARTITION BY e.id ORDER BY x.valid_to IS NOT NULL, x.predicate, x.id) AS n FROM entities e JOIN edges x ON e.id = x.subject_id WHERE e.entity_type = 'Agent'", BOTH,
+    " , i AS (SELECT subject_id AS node_id, id AS edge_id, predicate, object_id AS oid, true AS outgoing, valid_to FROM edges UNION ALL SELECT object_id, id, predicate, subject_id, false, valid_to FROM edges WHERE subject_id <> object_id)"
+    " SELECT node_id, edge_id, predicate, o.name AS other, outgoing, row_number() OVER (PARTITION BY node_id ORDER BY valid_to IS NOT NULL, predicate, edge_id) AS n FROM i JOIN entities e ON e.id = node_id JOIN entities o ON o.id = oid WHERE e.entity_type = 'Agent'", BOTH,
 )
 def node_detail(g):
     agents = g.entities().filter("entity_type = 'Agent'").select(F.col("id").alias("node_id"))
-    rows = agents.join(g.edges().withColumnRenamed("id", "edge_id"), F.col("node_id") == F.col("subject_id"))
-    order = Window.partitionBy("node_id").orderBy(F.col("valid_to").isNotNull(), "predicate", "edge_id")
-    return rows.select("node_id", "edge_id", "predicate", F.row_number().over(order).cast("long").alias("n"))
+    return graph.incident(g.edges(), g.entities(), agents).select("node_id", "edge_id", "predicate", "other", "outgoing", F.col("n").cast("long").alias("n"))
+
+
+def _written(g):
+    """Each order as an op that wrote its customer's node."""
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    ledger = g.table("orders").select(F.concat(key("op", "o_orderkey"), F.lit("-1")).alias("op_id"), key("p", "o_orderkey").alias("patch_id"), key("O#", "o_orderkey").alias("doc_id"), key("C#", "o_custkey").alias("node_id"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("at"))
+    agents = g.entities().filter("entity_type = 'Agent'").select(F.col("id").alias("node_id"))
+    return graph.written(ledger, agents, g.sources())
+
+
+@query(
+    "SELECT 'C#' || o_custkey AS node_id, row_number() OVER (PARTITION BY o_custkey ORDER BY strftime(o_orderdate, '%Y-%m-%d'), 'op' || o_orderkey || '-1') AS n, 'op' || o_orderkey || '-1' AS op_id, 'O#' || o_orderkey || '@' || strftime(o_orderdate, '%Y-%m-%d') AS source FROM orders",
+)
+def node_provenance(g):
+    return _written(g).select("node_id", F.col("n").cast("long").alias("n"), "op_id", "source")
+
+
+@query("SELECT 'op' || o_orderkey || '-1' AS op_id, CASE o_orderpriority[1] WHEN '1' THEN 'accept' WHEN '5' THEN 'reject' ELSE 'defer' END AS action FROM orders WHERE o_totalprice > 100000")
+def node_decisions(g):
+    """The decisions on the ops that wrote customers, of dear orders."""
+    dear = g.table("orders").filter("o_totalprice > 100000").select(F.concat(F.lit("op"), F.col("o_orderkey").cast("string"), F.lit("-1")).alias("op_id"))
+    return graph.decided(_written(g).join(dear, "op_id"), _decisions(g)).select("op_id", "action")
+
+
+@query(" SELECT e.id, s.name AS subject, o.name AS object, valid_to IS NULL AS open FROM edges e JOIN entities s ON s.id = e.subject_id JOIN entities o ON o.id = e.object_id", BOTH)
+def graph_export_edges(g):
+    return graph.export(g.entities(), g.edges())[1].select("id", "subject", "object", "open")
 
 
 # Documents.
@@ -218,8 +245,8 @@ def intake_lock(g):
 
 
 _PARTS = (
-    "parts AS (SELECT d, k - 1 AS pos, trim(ps[k], ' ') AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS d, string_split(coalesce(text, ''), chr(10)) AS ps, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k"
-    " FROM documents) WHERE trim(ps[k], ' ') <> '')"
+    f"parts AS (SELECT d, k - 1 AS pos, trim(ps[k], {_WHITE}) AS text FROM (SELECT CAST(doc_id AS VARCHAR) AS d, string_split(coalesce(text, ''), chr(10)) AS ps, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS k"
+    f" FROM documents) WHERE trim(ps[k], {_WHITE}) <> '')"
 )
 
 
@@ -237,18 +264,25 @@ def decompose_units(g):
     return D.units(D.with_headings(_blocks(g))).select("unit_id", "text")
 
 
-@query()
+@query(
+    " , hs AS (SELECT d, pos, length(regexp_extract(text, '^(#*)', 1)) AS lvl, trim(ltrim(text, '#'), " + _WHITE + ") AS title, row_number() OVER (PARTITION BY d ORDER BY pos) AS k FROM parts WHERE starts_with(text, '#')),"
+    " st AS (SELECT d, pos, k, [title] AS stack FROM hs WHERE k = 1 UNION ALL SELECT hs.d, hs.pos, hs.k, list_concat(st.stack[1:hs.lvl - 1], [hs.title]) FROM st JOIN hs ON hs.d = st.d AND hs.k = st.k + 1)"
+    " SELECT parts.d || '_b' || parts.pos AS block_id, CASE WHEN starts_with(text, '#') THEN 'heading' ELSE 'paragraph' END AS kind, array_to_string(coalesce(arg_max(st.stack, st.pos), []), ' / ') AS headings"
+    " FROM parts LEFT JOIN st ON st.d = parts.d AND st.pos <= parts.pos GROUP BY parts.d, parts.pos, text", "RECURSIVE " + _PARTS,
+)
 def heading_context(g):
-    """The stack of headings is a fold; its test compares it with a plain loop."""
     return D.with_headings(_blocks(g)).select("block_id", "kind", F.array_join("headings", " / ").alias("headings"))
 
 
-@query("SELECT 'conv_' || conv_id || '_b' || turn || '_u0' AS unit_id, coalesce(role, 'unknown') || ': ' || trim(coalesce(text, ''), ' ') AS text FROM conversations")
+@query(f"SELECT 'conv_' || conv_id || '_b' || turn || '_u0' AS unit_id, coalesce(role, 'unknown') || ': ' || trim(coalesce(text, ''), {_WHITE}) AS text FROM conversations")
 def transcript_units(g):
     return D.units(D.transcript(g.table("conversations"))).select("unit_id", "text")
 
 
-@query()
+@query(
+    "WITH x AS (SELECT page_id, string_split(html, '<p>') AS ps FROM pages WHERE html IS NOT NULL), y AS (SELECT page_id, k - 2 AS pos, ps[k] AS t FROM (SELECT page_id, ps, unnest(range(2, len(ps) + 1)) AS k FROM x)),"
+    " z AS (SELECT page_id, pos, trim(regexp_replace(regexp_replace(t, '(?s)(</p>|</article>).*', ''), '<[^>]*>', '', 'g'), " + _WHITE + ") AS t FROM y) SELECT 'page_' || page_id || '_b' || pos AS block_id, t AS text FROM z WHERE t <> ''",
+)
 def html_blocks(g):
     return D.html_paragraphs(g.table("pages")).select("block_id", "text")
 
@@ -258,12 +292,24 @@ def html_blocks(g):
     " UNION ALL SELECT 'c' || c_custkey, c_name, 'IS_A', 'userTask' FROM customer UNION ALL SELECT 'c' || c_custkey, 'Account ' || c_mktsegment, 'IS_A', 'endEvent' FROM customer",
 )
 def bpmn_triples(g):
+    return bpmn_rows(g).select("batch", "subject", "predicate", "object")
+
+
+def bpmn_rows(g):
     xml = F.format_string(
         '<definitions xmlns="http://www.omg.org/spec/BPMN/20100524/MODEL"><process><userTask id="a" name="%s"/><endEvent id="b" name="Account %s"/><sequenceFlow id="f" sourceRef="a" targetRef="b"/></process></definitions>',
         F.col("c_name"), F.col("c_mktsegment"),
     )
     docs = g.table("customer").select(F.concat(F.lit("c"), F.col("c_custkey").cast("string")).alias("doc_id"), xml.alias("text"))
-    return D.bpmn_triples(docs).select("batch", "subject", "predicate", "object")
+    return D.bpmn_triples(docs)
+
+
+@query(
+    "SELECT DISTINCT batch, name, entity_type FROM (SELECT 'c' || c_custkey AS batch, c_name AS name, 'userTask' AS entity_type FROM customer UNION ALL SELECT 'c' || c_custkey, 'Account ' || c_mktsegment, 'endEvent' FROM customer)",
+)
+def structured_candidates(g):
+    triples = bpmn_rows(g)
+    return candidates.from_triples(triples)[0].select("batch", "name", "entity_type")
 
 
 # Candidates.
@@ -272,7 +318,7 @@ _PRON = ", ".join(f"'{p}'" for p in T.PRONOUNS)
 _OPEN = "|".join(T.GENERIC_OPENINGS)
 
 
-@query(f" SELECT d || '_b' || pos AS temp_id, text AS name FROM parts WHERE NOT (lower(trim(text, ' ')) IN ({_PRON}) OR (lower(trim(text, ' ')) = trim(text, ' ') AND regexp_matches(trim(text, ' '), '^({_OPEN}) ')))", _PARTS)
+@query(f" SELECT d || '_b' || pos AS temp_id, text AS name FROM parts WHERE NOT (lower(text) IN ({_PRON}) OR (lower(text) = text AND regexp_matches(text, '^({_OPEN}) ')))", _PARTS)
 def unnamed_filter(g):
     ents = _blocks(g).select(F.col("doc_id").alias("batch"), F.col("block_id").alias("temp_id"), F.col("text").alias("name"))
     rels = ents.select("batch", F.col("temp_id").alias("subject_temp_id"), F.col("temp_id").alias("object_temp_id"))
@@ -288,7 +334,7 @@ def _parts_as_entities(g):
 
 
 @query(
-    "SELECT lower(trim(p_name, ' ')) AS key, 'P#' || min(p_partkey) AS temp_id, count(*) AS mentions, arg_max(p_type, (p_retailprice, -p_partkey)) AS entity_type, max(p_retailprice) AS confidence,"
+    f"SELECT lower(trim(p_name, {_WHITE})) AS key, 'P#' || min(p_partkey) AS temp_id, count(*) AS mentions, arg_max(p_type, (p_retailprice, -p_partkey)) AS entity_type, max(p_retailprice) AS confidence,"
     " arg_min(CAST(p_size AS VARCHAR), p_partkey) AS size, string_agg(p_brand, ',' ORDER BY p_partkey) AS brands FROM part GROUP BY 1",
 )
 def dedupe_entities(g):
@@ -297,22 +343,25 @@ def dedupe_entities(g):
 
 
 @query(
-    "WITH s AS (SELECT 'P#' || p_partkey AS t, 'P#' || min(p_partkey) OVER (PARTITION BY lower(trim(p_name, ' '))) AS survivor FROM part)"
-    " SELECT 'S#' || l_suppkey AS subject_temp_id, survivor AS object_temp_id, count(*) AS mentions, max(l_quantity) AS confidence, arg_min(strftime(l_shipdate, '%Y-%m-%d'), l_orderkey * 10 + l_linenumber) AS valid_from"
+    f"WITH s AS (SELECT 'P#' || p_partkey AS t, 'P#' || min(p_partkey) OVER (PARTITION BY lower(trim(p_name, {_WHITE}))) AS survivor FROM part)"
+    " SELECT 'S#' || l_suppkey AS subject_temp_id, survivor AS object_temp_id, count(*) AS mentions, max(l_quantity) AS confidence, arg_min(strftime(l_shipdate, '%Y-%m-%d'), (l_orderkey, l_linenumber, l_shipdate)) AS valid_from"
     " FROM lineitem JOIN s ON t = 'P#' || l_partkey GROUP BY 1, 2",
 )
 def dedupe_relations(g):
+    """A line is named by order and number, which isn't unique in the tables, so its date is part of its place."""
     rels = g.table("lineitem").select(
-        F.lit("b").alias("batch"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"), F.concat_ws("-", F.lit("r"), "l_orderkey", "l_linenumber").alias("temp_id"),
+        F.lit("b").alias("batch"), F.struct("l_orderkey", "l_linenumber", "l_shipdate").alias("pos"), F.concat_ws("-", F.lit("r"), "l_orderkey", "l_linenumber").alias("temp_id"),
         F.concat(F.lit("S#"), F.col("l_suppkey").cast("string")).alias("subject_temp_id"), F.concat(F.lit("P#"), F.col("l_partkey").cast("string")).alias("object_temp_id"), F.lit("supplies").alias("predicate"),
         F.date_format("l_shipdate", "yyyy-MM-dd").alias("valid_from"), F.col("l_quantity").alias("confidence"), F.create_map().cast("map<string,string>").alias("props"), F.array("l_returnflag").alias("evidence"),
     )
     return candidates.merge_relations(rels, candidates.survivors(_parts_as_entities(g))).select("subject_temp_id", "object_temp_id", "mentions", "confidence", "valid_from")
 
 
-@query("SELECT DISTINCT p_type AS entity_type FROM part WHERE p_type NOT IN (SELECT o_orderpriority FROM orders)")
+@query("SELECT DISTINCT p_type || '/' || p_size AS entity_type FROM part WHERE p_type || '/' || p_size NOT IN (SELECT p_type || '/' || p_size FROM part WHERE p_retailprice > 1500)")
 def new_types(g):
-    return candidates.new_types(g.table("part").select(F.col("p_type").alias("entity_type")), g.table("orders").select(F.col("o_orderpriority").alias("type_name")))
+    """Types and sizes of parts that no dear part has."""
+    parts = g.table("part").withColumn("kind", F.concat_ws("/", "p_type", F.col("p_size").cast("string")))
+    return candidates.new_types(parts.select(F.col("kind").alias("entity_type")), parts.filter("p_retailprice > 1500").select(F.col("kind").alias("type_name")).distinct())
 
 
 # Vectors, words, fusion.
@@ -376,7 +425,7 @@ _TERMS = (
 def _bm25(g):
     docs = g.table("documents")
     asked = g.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    return lexical.bm25(lexical.postings(docs, "doc_id", "text"), docs.select("doc_id"), asked)
+    return lexical.search(docs, "doc_id", "text", asked)
 
 
 @query(" SELECT query_id, rank, key, round(score, 3) AS score FROM rk WHERE rank <= 8", _TERMS)
@@ -384,6 +433,49 @@ def bm25_topk(g):
     return _bm25(g).select("query_id", F.col("rank").cast("long").alias("rank"), "key", F.round("score", 3).alias("score"))
 
 
+def _ranked_sql(docs: str, queries: str) -> str:
+    return (
+        f"docs AS ({docs}), post AS (SELECT key, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT key, len(t) AS dl, unnest(t) AS term FROM docs) GROUP BY key, term), qs AS ({queries}),"
+        " st AS (SELECT count(*) AS n, sum(len(t)) / count(*) AS avgdl FROM docs), df AS (SELECT term, count(*) AS df FROM post GROUP BY term),"
+        " sc AS (SELECT query_id, key, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM post JOIN qs USING (term) JOIN df USING (term), st GROUP BY query_id, key),"
+        " rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) AS rank FROM sc)"
+    )
+
+
+@query(
+    "," + _ranked_sql(f"SELECT id AS key, {_WORDS.format('concat_ws(chr(32), name, description)')} AS t FROM entities", f"SELECT DISTINCT n_nationkey AS query_id, unnest({_WORDS.format('n_name')}) AS term FROM nation")
+    + " SELECT query_id, rank, key, round(score, 3) AS score FROM rk WHERE rank <= 8", ENTITIES_SQL,
+)
+def fulltext_entities(g):
+    """Each nation's name looked up among all entities' names and descriptions."""
+    rows = g.entities().withColumn("t", F.concat_ws(" ", "name", "description"))
+    asked = g.table("nation").select(F.col("n_nationkey").alias("query_id"), F.col("n_name").alias("query"))
+    return lexical.search(rows, "id", "t", asked).select("query_id", F.col("rank").cast("long").alias("rank"), "key", F.round("score", 3).alias("score"))
+
+
+@query(
+    "," + _ranked_sql(f"SELECT id AS key, {_WORDS.format('concat_ws(chr(32), predicate, valid_from)')} AS t FROM edges", "SELECT r_regionkey AS query_id, unnest(['part', 'of', CAST(1993 + r_regionkey AS VARCHAR)]) AS term FROM region")
+    + " SELECT query_id, rank, key, round(score, 3) AS score FROM rk WHERE rank <= 8", EDGES_SQL,
+)
+def fulltext_facts(g):
+    """What is a part of what, and what began in a year, among all facts."""
+    rows = g.edges().withColumn("t", F.concat_ws(" ", "predicate", "valid_from"))
+    asked = g.table("region").select(F.col("r_regionkey").alias("query_id"), F.concat(F.lit("part_of? "), (F.lit(1993) + F.col("r_regionkey")).cast("string")).alias("query"))
+    asked = asked.withColumn("query", F.replace("query", F.lit("_"), F.lit(" ")))
+    return lexical.search(rows, "id", "t", asked).select("query_id", F.col("rank").cast("long").alias("rank"), "key", F.round("score", 3).alias("score"))
+
+
+@query()
+def four_doors(g):
+    """The four ranked lists of each region's question, and what a search fuses them to: two of them come from the Python embedder, so SQL has no equal."""
+    from claimgraph.engine import doors
+
+    ents = g.entities().filter("entity_type IN ('Place', 'Concept')")
+    shown = graph.named(g.edges().filter("predicate = 'part_of'").withColumn("quotes", F.array().cast("array<string>")), ents)
+    asked = g.table("region").select(F.concat(F.lit("q"), F.col("r_regionkey").cast("string")).alias("query_id"), F.col("r_name").alias("query"))
+    return fusion.rrf(doors(asked, ents, shown)).withColumn("rank", F.col("rank").cast("long"))
+
+
 def _lists(g):
     """Two rankings of each customer's priorities and of the segment's."""
     o, c = g.table("orders"), g.table("customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
@@ -409,13 +501,14 @@ def rrf_fuse(g):
 
 @query(
     ", " + BOTH.strip() + " , seeds AS (SELECT query_id, 'C#' || id AS id FROM fused WHERE rank <= 10), v AS (SELECT * FROM edges WHERE " + _HOLDS + ")"
-    " SELECT DISTINCT s.query_id, v.id, v.subject_id, v.object_id FROM seeds s JOIN v ON v.subject_id = s.id OR v.object_id = s.id", _RRF,
+    " , f AS (SELECT DISTINCT s.query_id, v.id, v.subject_id, v.object_id FROM seeds s JOIN v ON v.subject_id = s.id OR v.object_id = s.id)"
+    " SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY id) AS n FROM f) WHERE n <= 60", _RRF,
 )
 def hybrid_retrieve(g):
     from claimgraph.engine import retrieve
 
     seeds = fusion.rrf(_lists(g)).select("query_id", F.concat(F.lit("C#"), F.col("id").cast("string")).alias("id"))
-    return retrieve(seeds, g.edges(), g.entities(), g.ledger(), g.sources(), AS_OF, 1, 10_000_000).select("query_id", "id", "subject_id", "object_id")
+    return retrieve(seeds, g.edges(), g.entities(), g.ledger(), g.sources(), AS_OF, 1).select("query_id", "id", "subject_id", "object_id")
 
 
 @query(
@@ -452,39 +545,39 @@ def _new_facts(g):
 _NEW = (
     "n AS (SELECT 'f' || o_orderkey AS fact_id, 'C#' || o_custkey AS s, 'Q#' || o_orderpriority AS o, strftime(o_orderdate, '%Y-%m-%d') AS d FROM orders), op AS (SELECT * FROM edges WHERE valid_to IS NULL AND predicate = 'has_priority'),"
     " same AS (SELECT fact_id, min(op.id) AS edge_id FROM n JOIN op ON s = subject_id AND o = object_id GROUP BY fact_id),"
-    " col AS (SELECT fact_id, id AS edge_id, d, valid_from AS old FROM n JOIN op ON s = subject_id AND o <> object_id WHERE fact_id NOT IN (SELECT fact_id FROM same)),"
-    " sub AS (SELECT o, d, fact_id, s FROM n WHERE fact_id NOT IN (SELECT fact_id FROM same)),"
-    " j AS (SELECT fact_id, count(*) AS n, max(CASE WHEN d > old THEN 2 ELSE 3 END) AS w FROM col GROUP BY fact_id)"
+    " ps AS (SELECT subject_id AS s, count(*) AS c1, max(valid_from) AS l1 FROM op GROUP BY 1), po AS (SELECT object_id AS o, count(*) AS c2, max(valid_from) AS l2 FROM op GROUP BY 1)"
 )
 
 
-def _by_subject(met):
-    return met.filter("side = 'object'").withColumn("outcome", correlate.by_rule(F.col("np"), F.col("old_from"), F.col("new_from"), []))
-
-
 @query(
-    "," + _NEW + " SELECT n.fact_id, same.edge_id, CASE WHEN same.edge_id IS NOT NULL THEN 'reinforces' ELSE coalesce(CASE j.w WHEN 2 THEN 'contradicts_temporal' WHEN 3 THEN 'contradicts_semantic' END, 'new') END AS correlation, coalesce(j.n, 0) AS n_collisions"
-    " FROM n LEFT JOIN same USING (fact_id) LEFT JOIN j USING (fact_id)", EDGES_SQL,
+    "," + _NEW + " SELECT fact_id, edge_id, CASE WHEN edge_id IS NOT NULL THEN 'reinforces' WHEN m = 0 THEN 'new' WHEN l IS NULL OR d > l THEN 'contradicts_temporal' ELSE 'contradicts_semantic' END AS correlation, CASE WHEN edge_id IS NULL THEN m ELSE 0 END AS n_collisions"
+    " FROM (SELECT n.*, edge_id, coalesce(c1, 0) + coalesce(c2, 0) AS m, greatest(l1, l2) AS l FROM n LEFT JOIN same USING (fact_id) LEFT JOIN ps USING (s) LEFT JOIN po USING (o))", EDGES_SQL,
 )
 def correlate_relations(g):
-    """Many customers share a priority, so only the customer's own other facts collide here."""
-    held = g.edges().filter("predicate = 'has_priority'")
-    new = _new_facts(g)
-    same = correlate.exact(new, held)
-    mine = held.withColumn("object_id", F.concat("object_id", F.lit("@"), "subject_id"))
-    own = new.withColumn("object_id", F.concat("object_id", F.lit("@"), "subject_id"))
-    out = correlate.correlate(own, mine, _by_subject)
-    return out.drop("edge_id").join(same, "fact_id", "left").select("fact_id", "edge_id", "correlation", "n_collisions")
+    """Both sides: other priorities of the same customer, and the other customers of the same priority, of which there are many."""
+    out = correlate.correlate(_new_facts(g), g.edges().filter("predicate = 'has_priority'"))
+    return out.select("fact_id", "edge_id", "correlation", "n_collisions")
+
+
+def _new_supplies(g):
+    """Each supplier states that it supplies one part, from a date on; every third is a new supplier, every third names a new part."""
+    key = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    turn = F.col("s_suppkey") % 3
+    who, part = F.col("s_suppkey") + F.when(turn == 0, 1_000_000).otherwise(0), 1 + F.col("s_suppkey") * 7 % 100 + F.when(turn == 1, 1_000_000).otherwise(0)
+    return g.table("supplier").select(key("f", F.col("s_suppkey")).alias("fact_id"), key("S#", who).alias("subject_id"), F.lit("supplies").alias("predicate"), key("P#", part).alias("object_id"), F.concat(F.lit("199"), (F.col("s_nationkey") % 8).cast("string"), F.lit("-06-15")).alias("valid_from"))
 
 
 @query(
-    "," + _NEW + " SELECT fact_id, edge_id, d AS valid_to, CASE WHEN d > old THEN 'superseded' ELSE 'contradicted' END AS reason, NOT (d > old) AS semantic FROM col", EDGES_SQL,
+    ", n AS (SELECT 'f' || s_suppkey AS fact_id, 'S#' || (s_suppkey + CASE s_suppkey % 3 WHEN 0 THEN 1000000 ELSE 0 END) AS s, 'P#' || (1 + s_suppkey * 7 % 100 + CASE s_suppkey % 3 WHEN 1 THEN 1000000 ELSE 0 END) AS o, '199' || (s_nationkey % 8) || '-06-15' AS d FROM supplier), op AS (SELECT * FROM edges WHERE valid_to IS NULL AND predicate = 'supplies'),"
+    " m AS (SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM op WHERE subject_id = s AND object_id = o)),"
+    " col AS (SELECT fact_id, id AS edge_id, d, valid_from AS old FROM m JOIN op ON (s = subject_id AND o <> object_id) UNION ALL SELECT fact_id, id, d, valid_from FROM m JOIN op ON (o = object_id AND s <> subject_id))"
+    " SELECT fact_id, edge_id, d AS valid_to, CASE WHEN d > old THEN 'superseded' ELSE 'contradicted' END AS reason, NOT (d > old) AS semantic FROM col", EDGES_SQL,
 )
 def adjudicate_collisions(g):
-    held = g.edges().filter("predicate = 'has_priority'").withColumn("object_id", F.concat("object_id", F.lit("@"), "subject_id"))
-    own = _new_facts(g).withColumn("object_id", F.concat("object_id", F.lit("@"), "subject_id"))
-    met = correlate.collisions(own.join(correlate.exact(own, held), "fact_id", "left_anti"), held)
-    return correlate.adjudicated(_by_subject(met), "2000-01-01")
+    """Both sides, pair by pair: what else a supplier supplies, and who else supplies the part."""
+    held, new = g.edges().filter("predicate = 'supplies'"), _new_supplies(g)
+    met = correlate.collisions(new.join(correlate.exact(new, held), "fact_id", "left_anti"), held)
+    return correlate.adjudicated(met.withColumn("outcome", correlate.by_rule(F.col("np"), F.col("old_from"), F.col("new_from"), [])), "2000-01-01")
 
 
 # Scores, routes, review.
@@ -522,6 +615,19 @@ def preconditions(g):
     return commit.preconditions(checks, g.entities().withColumn("props", F.create_map().cast("map<string,string>")), g.edges()).select("op_id", "kind", "holds")
 
 
+@query(
+    " SELECT 'HP#' || o_orderkey AS subject, 'edge_exists' AS kind, EXISTS (SELECT 1 FROM edges WHERE id = 'HP#' || o_orderkey AND valid_to IS NULL) AS holds FROM orders"
+    " UNION ALL SELECT 'C#' || c_custkey, 'prop_equals', c_mktsegment = 'BUILDING' FROM customer UNION ALL SELECT 'R#' || r_regionkey, 'unheard_of', false FROM region", BOTH,
+)
+def preconditions_of_edges(g):
+    key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string")).alias("subject")
+    none = F.create_map().cast("map<string,string>").alias("expected")
+    segment = F.create_map(F.lit("prop"), F.lit("description"), F.lit("value"), F.lit("BUILDING")).alias("expected")
+    checks = g.table("orders").select(F.lit("edge_exists").alias("kind"), key("HP#", "o_orderkey"), none).unionByName(g.table("customer").select(F.lit("prop_equals").alias("kind"), key("C#", "c_custkey"), segment))
+    checks = checks.unionByName(g.table("region").select(F.lit("unheard_of").alias("kind"), key("R#", "r_regionkey"), none))
+    return commit.preconditions(checks, g.entities().withColumn("props", F.create_map().cast("map<string,string>")), g.edges()).select("subject", "kind", "holds")
+
+
 def _with_deps(g):
     deps = F.when(F.col("dep").isNull(), F.array().cast("array<string>")).otherwise(F.array("dep"))
     return g.ops().withColumn("depends_on", deps)
@@ -637,6 +743,42 @@ def commit_report(g):
     return out.select(F.expr("cast(substring(id, 3) AS bigint)").alias("cust"), F.coalesce("placed", F.lit(0)).alias("placed"), "support", "n_quotes", F.coalesce("ledgered", F.lit(0)).alias("ledgered"))
 
 
+@query(
+    "SELECT c_custkey AS cust, k AS kind, CASE WHEN k = 'split_node' THEN 'failed' WHEN c_custkey % 2 = 0 OR k IN ('merge_into', 'invalidate_edge') THEN 'committed' WHEN k = 'assert_edge' THEN 'blocked' ELSE 'requeued' END AS status,"
+    " CASE WHEN k = 'invalidate_edge' THEN 'LC#' || c_custkey END AS closed FROM customer, (SELECT unnest(['update_node_props', 'merge_into', 'invalidate_edge', 'assert_edge', 'split_node']) AS k)",
+)
+def commit_kinds(g):
+    """A patch a customer: a guarded update that holds for every second one, a merge into its nation, a closed edge, a fact behind the update, and a split, which can't be applied."""
+    from claimgraph.schemas import TABLES
+
+    blank = lambda df, name: df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in g.spark.createDataFrame([], TABLES[name]).schema])
+    empty, none = F.create_map().cast("map<string,string>"), F.lit(None).cast("string")
+    c = g.table("customer").withColumn("k", F.col("c_custkey").cast("string")).withColumn("patch_id", F.concat(F.lit("p"), "k"))
+    node, nation, op_id = F.concat(F.lit("C#"), "k"), F.concat(F.lit("N#"), F.col("c_nationkey").cast("string")), lambda kind: F.concat_ws("-", "k", F.lit(kind))
+    common = [F.lit(1.0).alias("confidence"), F.lit("").alias("rationale"), F.lit("approve").alias("route"), F.lit("approved").alias("status")]
+    check = lambda kind, subject, expected=empty: F.array(F.struct(F.lit(kind).alias("kind"), subject.alias("subject"), expected.alias("expected"))).alias("preconditions")
+    guard = F.create_map(F.lit("prop"), F.lit("description"), F.lit("value"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).otherwise("another"))
+    base = lambda pos, kind: ["patch_id", op_id(kind).alias("op_id"), F.lit(pos).alias("pos"), F.lit(kind).alias("op"), *common]
+    no_deps = F.array().cast("array<string>").alias("depends_on")
+    ops = [
+        c.select(*base(0, "update_node_props"), node.alias("canonical_id"), F.create_map(F.lit("tier"), F.lit("gold")).alias("props"), check("prop_equals", node, guard), no_deps),
+        c.select(*base(1, "merge_into"), F.lit("t").alias("temp_id"), nation.alias("canonical_id"), F.lit(0.95).alias("match_score"), F.lit("embedding").alias("match_method"), check("node_exists", nation), no_deps),
+        c.select(*base(2, "invalidate_edge"), F.concat(F.lit("LC#"), "k").alias("edge_id"), F.lit("2000-01-01").alias("valid_to"), F.lit("moved").alias("reason"), check("edge_exists", F.concat(F.lit("LC#"), "k")), no_deps),
+        c.select(*base(3, "assert_edge"), F.struct(none.alias("temp_id"), node.alias("canonical_id")).alias("subject"), F.struct(F.lit("t").alias("temp_id"), none.alias("canonical_id")).alias("object"), F.lit("visits").alias("predicate"), F.array(op_id("update_node_props")).alias("depends_on"), F.array().alias("preconditions")),
+        c.select(*base(4, "split_node"), node.alias("canonical_id"), F.array().alias("preconditions"), no_deps),
+    ]
+    tables = {name: g.spark.createDataFrame([], schema) for name, schema in TABLES.items()}
+    tables["entities"] = blank(g.entities().withColumn("props", empty), "entities")
+    tables["edges"] = blank(g.edges().withColumn("quotes", F.array()).withColumn("props", empty), "edges")
+    for one in ops:
+        tables["patch_ops"] = tables["patch_ops"].unionByName(blank(one, "patch_ops"))
+    tables["patches"] = blank(c.select("patch_id", F.col("k").alias("doc_id"), F.lit("run").alias("run_id"), F.lit("2000").alias("created_at"), F.lit("pending").alias("status")), "patches")
+    new, report = commit.commit(tables, "2000-01-01")
+    closed = new["edges"].filter("invalidation_reason = 'moved' AND valid_to = '2000-01-01'").select(F.concat(F.lit("p"), F.substring("subject_id", 3, 20)).alias("patch_id"), F.lit("invalidate_edge").alias("kind"), F.col("id").alias("closed"))
+    out = report.withColumn("kind", F.element_at(F.split("op_id", "-"), 2)).join(closed, ["patch_id", "kind"], "left")
+    return out.select(F.expr("cast(substring(patch_id, 2) AS bigint)").alias("cust"), "kind", "status", "closed")
+
+
 @query("SELECT count(*) AS n_ops, 3 * count(*) AS n_ledger FROM orders HAVING false")
 def idempotent_replay(g):
     """Rows of the graph that a second commit of the same patches changes: none."""
@@ -656,20 +798,34 @@ def idempotent_replay(g):
 
 def _triples(g):
     """Gold: what suppliers supply by name; found: the same from returned items, now and then the wrong way round."""
-    li = g.table("lineitem").join(g.table("part"), F.col("p_partkey") == F.col("l_partkey")).join(g.table("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
-    rows = li.select(F.col("l_orderkey").alias("doc"), F.col("l_linenumber").cast("long").alias("pos"), F.col("s_name").alias("subject"), F.col("p_name").alias("object"), "l_returnflag", "l_linestatus")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax")
+    li = g.table("lineitem").withColumn("n", F.row_number().over(place))
+    li = li.join(g.table("part"), F.col("p_partkey") == F.col("l_partkey")).join(g.table("supplier"), F.col("s_suppkey") == F.col("l_suppkey"))
+    rows = li.select(F.col("l_orderkey").alias("doc"), F.col("n").cast("long").alias("pos"), F.col("s_name").alias("subject"), F.col("p_name").alias("object"), "l_returnflag", "l_linestatus")
     gold = rows.select("doc", "pos", "subject", F.lit("suppliesPart").alias("predicate"), "object")
     back = F.col("l_returnflag") == "R"
     found = rows.filter("l_returnflag <> 'A'").select("doc", "pos", F.when(back, F.col("object")).otherwise(F.col("subject")).alias("subject"), F.lit("supplies_part").alias("predicate"), F.when(back, F.col("subject")).otherwise(F.col("object")).alias("object"))
     return gold, found
 
 
-@query()
+_MATCHED = (
+    "li AS (SELECT l_orderkey AS doc, n AS pos, s_name AS s, p_name AS o, l_returnflag AS f FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_shipdate, l_discount, l_tax) AS n FROM lineitem)"
+    " JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey), gold AS (SELECT *, row_number() OVER (PARTITION BY doc, s, o ORDER BY pos) AS k FROM li),"
+    " found AS (SELECT doc, s, o, pos AS found_pos, f = 'R' AS reversed, row_number() OVER (PARTITION BY doc, s, o ORDER BY f = 'R', pos) AS k FROM li WHERE f <> 'A'),"
+    " met AS (SELECT gold.doc, gold.pos, found_pos, coalesce(reversed, false) AS reversed, CASE WHEN found_pos IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS cosine, found_pos IS NOT NULL AS triple FROM gold LEFT JOIN found USING (doc, s, o, k))"
+)
+
+
+@query(" SELECT doc, pos, coalesce(found_pos, 0) AS found_pos, reversed, cosine, triple FROM met", _MATCHED)
 def greedy_match(g):
-    return evaluate.greedy_match(*_triples(g))
+    """Places begin at 1; 0 stands for none."""
+    return evaluate.greedy_match(*_triples(g)).withColumn("found_pos", F.coalesce("found_pos", F.lit(0)))
 
 
-@query()
+@query(
+    " SELECT level, n_gold, n_found, n_hit, round(n_hit / n_found, 3) AS precision, round(n_hit / n_gold, 3) AS recall, round(2.0 * n_hit / (n_found + n_gold), 3) AS f1"
+    " FROM (SELECT unnest(['pair', 'triple']) AS level), (SELECT count(*) AS n_gold, count(found_pos) AS n_hit FROM met), (SELECT count(*) AS n_found FROM found)", _MATCHED,
+)
 def extraction_prf(g):
     gold, found = _triples(g)
     return evaluate.report(gold, found, evaluate.greedy_match(gold, found))

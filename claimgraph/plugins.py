@@ -24,15 +24,23 @@ def answered(prompts: DataFrame, known: DataFrame, ask: Callable[[DataFrame], Da
 
 
 def pattern_extractor(units: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Capitalised names, and ``A verb B`` between two of them in one sentence."""
+    """Capitalised names, and ``A verb B`` between two of them in one sentence, with a start where ``in``, ``since`` or ``from`` and a date follow."""
     name = r"[A-Z][\w-]+(?: [A-Z][\w-]+)*"
-    found = F.regexp_extract_all("text", F.lit(f"({name}) ([a-z]+(?: (?:in|by|of|at|to|from))?) ({name})"), F.lit(0))
+    pattern = f"({name}) ([a-z]+(?: (?:in|by|of|at|to|from))?) ({name})(?: (?:in|since|from) (\\d{{4}}(?:-\\d\\d){{0,2}}))?"
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
     hits = units.select(F.col("doc_id").alias("batch"), F.col("unit_id").alias("unit"), F.posexplode(found).alias("pos", "hit"))
-    part = lambda i: F.regexp_extract("hit", f"({name}) ([a-z]+(?: (?:in|by|of|at|to|from))?) ({name})", i)
-    hits = hits.select("batch", "unit", "pos", part(1).alias("subject"), part(2).alias("predicate"), part(3).alias("object"), F.lit(0.5).alias("confidence"))
-    names = hits.select("batch", "unit", F.explode(F.array(F.struct((2 * F.col("pos")).alias("pos"), F.col("subject").alias("name")), F.struct((2 * F.col("pos") + 1).alias("pos"), F.col("object").alias("name")))).alias("e"))
+    part = lambda i: F.regexp_extract("hit", pattern, i)
+    hits = hits.select("batch", "unit", "pos", part(1).alias("subject"), part(2).alias("predicate"), part(3).alias("object"), F.nullif(part(4), F.lit("")).alias("valid_from"), F.col("hit").alias("quote"), F.lit(0.5).alias("confidence"))
+    names = hits.select("batch", "unit", "quote", F.explode(F.array(F.struct((2 * F.col("pos")).alias("pos"), F.col("subject").alias("name")), F.struct((2 * F.col("pos") + 1).alias("pos"), F.col("object").alias("name")))).alias("e"))
     empty = F.create_map().cast("map<string,string>")
-    return names.select("batch", "unit", "e.pos", "e.name", F.lit("Entity").alias("entity_type"), F.lit(None).cast("string").alias("description"), F.lit(0.5).alias("confidence"), empty.alias("props")), hits
+    return names.select("batch", "unit", "e.pos", "e.name", F.lit("Entity").alias("entity_type"), F.lit(None).cast("string").alias("description"), F.lit(0.5).alias("confidence"), empty.alias("props"), "quote"), hits
+
+
+def rule_adjudicator(many_valued: list[str] = ()) -> Judge:
+    """Collisions (fact_id, edge_id, np, old_from, new_from, ...) with ``outcome`` and the judgement's ``certainty``, by the rule of correlate.by_rule."""
+    from claimgraph.operators.correlate import by_rule
+
+    return lambda met: met.withColumn("outcome", by_rule(F.col("np"), F.col("old_from"), F.col("new_from"), many_valued)).withColumn("certainty", F.lit(0.5))
 
 
 def name_judge(entities: DataFrame) -> Judge:

@@ -9,9 +9,11 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from claimgraph.functions.text import strip
+
 #: The suffixes of the kinds of documents.
 SUFFIXES = {".pdf": "pdf", ".docx": "docx", ".md": "markdown", ".bpmn": "bpmn"}
 #: The elements of a BPMN process that are nodes of its flow.
@@ -34,7 +36,7 @@ def parser_of(modality: str) -> Callable[[DataFrame], DataFrame]:
 
 
 def modality_of(path: Column) -> Column:
-    """By suffix; null for others."""
+    """By suffix; null for others, which readers report or leave out."""
     out = None
     for suffix, modality in SUFFIXES.items():
         out = (F if out is None else out).when(F.lower(path).endswith(suffix), modality)
@@ -67,7 +69,7 @@ def locked(docs: DataFrame, patches: DataFrame) -> DataFrame:
 
 def blocks(docs: DataFrame, separator: str = "\n\n") -> DataFrame:
     """Non-blank parts of a text, with their place among all parts, blank ones included."""
-    parts = docs.select("doc_id", F.posexplode(F.split("text", re.escape(separator))).alias("pos", "text")).withColumn("text", F.trim("text"))
+    parts = docs.select("doc_id", F.posexplode(F.split("text", re.escape(separator))).alias("pos", "text")).withColumn("text", strip(F.col("text")))
     return parts.filter("text <> ''").withColumn("block_id", F.concat_ws("_b", "doc_id", "pos"))
 
 
@@ -78,18 +80,22 @@ def heading_level(text: Column) -> Column:
 def with_headings(parts: DataFrame) -> DataFrame:
     """Blocks with ``kind`` and ``headings``: the stack of titles above, a heading's own included.
 
-    A heading cuts the stack to one less than its level and adds its title. Order decides, so the document's headings are
-    folded as one array; other blocks carry none of it.
+    A heading cuts the stack to one less than its level and adds its title. Order decides, so the document's headings are folded once, as one
+    array; a block takes the stack of the last heading up to it.
     """
     level = heading_level(F.col("text"))
-    rows = parts.withColumn("level", level).withColumn("title", F.trim(F.ltrim(F.col("text"), F.lit("#"))))
+    rows = parts.withColumn("level", level).withColumn("title", strip(F.ltrim(F.col("text"), F.lit("#"))))
     heads = rows.filter("level > 0").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "level", "title"))).alias("heads"))
-    rows = rows.join(heads, "doc_id", "left")
-    above = F.filter(F.coalesce("heads", F.array().cast("array<struct<pos:int,level:int,title:string>>")), lambda h: h["pos"] <= F.col("pos"))
-    empty = F.array().cast("array<string>")
-    stack = F.aggregate(above, empty, lambda acc, h: F.concat(F.slice(acc, F.lit(1), h["level"] - 1), F.array(h["title"])))
+    empty, steps = F.array().cast("array<string>"), F.array().cast("array<struct<pos:int,stack:array<string>>>")
+    above = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["stack"], empty)
+    grown = lambda acc, h: F.concat(F.slice(above(acc), F.lit(1), h["level"] - 1), F.array(h["title"]))
+    add = lambda acc, h: F.concat(acc, F.array(F.struct(h["pos"].alias("pos"), grown(acc, h).alias("stack"))))
+    heads = heads.select("doc_id", F.explode(F.aggregate("heads", steps, add)).alias("h")).select("doc_id", F.col("h.pos").alias("pos"), F.col("h.stack").alias("own"))
+    rows = rows.join(heads, ["doc_id", "pos"], "left")
+    so_far = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    stack = F.coalesce(F.last("own", ignorenulls=True).over(so_far), empty)
     kind = F.when(F.col("level") > 0, "heading").otherwise("paragraph")
-    return rows.withColumn("headings", stack).withColumn("kind", kind).drop("heads", "level", "title")
+    return rows.withColumn("headings", stack).withColumn("kind", kind).drop("own", "level", "title")
 
 
 def markdown(docs: DataFrame) -> DataFrame:
@@ -98,22 +104,23 @@ def markdown(docs: DataFrame) -> DataFrame:
 
 def units(parts: DataFrame) -> DataFrame:
     """What extraction reads: blocks that aren't headings, blank or structured (``bpmn_...``, whose facts are given)."""
-    keep = (F.col("kind") != "heading") & (F.trim("text") != "") & ~F.col("kind").startswith("bpmn_")
+    keep = (F.col("kind") != "heading") & (strip(F.col("text")) != "") & ~F.col("kind").startswith("bpmn_")
     return parts.filter(keep).withColumn("unit_id", F.concat("block_id", F.lit("_u0")))
 
 
 def transcript(turns: DataFrame) -> DataFrame:
     """A conversation's turns as blocks: ``role: text``."""
-    text = F.concat(F.coalesce("role", F.lit("unknown")), F.lit(": "), F.trim(F.coalesce("text", F.lit(""))))
+    text = F.concat(F.coalesce("role", F.lit("unknown")), F.lit(": "), strip(F.coalesce("text", F.lit(""))))
     rows = turns.select(F.concat(F.lit("conv_"), F.col("conv_id").cast("string")).alias("doc_id"), F.col("turn").alias("pos"), text.alias("text"))
     return rows.withColumn("block_id", F.concat_ws("_b", "doc_id", "pos")).withColumn("kind", F.lit("utterance"))
 
 
 def html_paragraphs(pages: DataFrame) -> DataFrame:
-    """Paragraph elements of pages as blocks, tags dropped: a plain stand-in for a layout parser."""
-    found = F.regexp_extract_all("html", F.lit("(?s)<p>(.*?)(?=<p>|</p>|</article>|$)"), 1)
-    rows = pages.select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("doc_id"), F.posexplode(found).alias("pos", "text"))
-    rows = rows.withColumn("text", F.trim(F.regexp_replace("text", "<[^>]*>", "")))
+    """Paragraph elements of pages as blocks, up to their end, the next paragraph's or the article's, tags dropped: a plain stand-in for a layout parser."""
+    found = F.slice(F.split("html", "<p>"), 2, 2**30)
+    rows = pages.filter("html IS NOT NULL").select(F.concat(F.lit("page_"), F.col("page_id").cast("string")).alias("doc_id"), F.posexplode(found).alias("pos", "text"))
+    text = F.regexp_replace("text", "(?s)(</p>|</article>).*", "")
+    rows = rows.withColumn("text", strip(F.regexp_replace(text, "<[^>]*>", "")))
     return rows.filter("text <> ''").withColumn("block_id", F.concat_ws("_b", "doc_id", "pos")).withColumn("kind", F.lit("paragraph"))
 
 
@@ -142,11 +149,12 @@ def bpmn_triples(docs: DataFrame) -> DataFrame:
                         found.append((name, "IS_A", tag, {}))
                     elif tag == "sequenceFlow":
                         flows.append(e)
+                found.sort(key=lambda r: FLOW_NODES.index(r[2]))
                 for e in flows:
-                    a, b = names.get(e.get("sourceRef")), names.get(e.get("targetRef"))
-                    if a and b:
-                        condition = next((c.text for c in e if _local(c.tag) == "conditionExpression"), None) or e.get("name")
-                        found.append((a, "FLOWS_TO", b, {"condition": condition} if condition else {}))
+                    a, b = e.get("sourceRef"), e.get("targetRef")
+                    if a and b:  # an end that is no flow node goes by its id
+                        condition = e.get("name")
+                        found.append((names.get(a, a), "FLOWS_TO", names.get(b, b), {} if condition is None else {"condition": condition}))
                 rows += [(doc, i, *r) for i, r in enumerate(found)]
             yield pd.DataFrame(rows, columns=["batch", "pos", "subject", "predicate", "object", "props"])
 

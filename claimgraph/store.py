@@ -7,6 +7,7 @@ through Hadoop's file system, so any store that Spark can write to will do.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,8 +47,8 @@ class Store:
         """Write the tables, then the manifest under a name that must not exist: of two writers one fails and nothing is lost."""
         before, version = self.manifest(), self.version() + 1
         for name, df in changed.items():
-            at = f"{self.root}/{name}/v{version}"
-            df.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.mode("overwrite").parquet(at)
+            at = f"{self.root}/{name}/v{version}-{uuid.uuid4().hex[:12]}"  # a writer that loses leaves the winner's files alone
+            df.select(*self.spark.createDataFrame([], TABLES[name]).columns).write.parquet(at)
             before[name] = at
         out = self._fs.create(self._path(f"{self.root}/manifests/{version}.json"), False)
         out.write(bytearray(json.dumps(before, sort_keys=True).encode()))

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from claimgraph.engine import doors
 from claimgraph.functions import text as T
-from claimgraph.operators import candidates, commit, evaluate, fusion, graph, scoring, temporal
+from claimgraph.operators import candidates, commit, correlate, evaluate, fusion, graph, resolve, scoring, temporal, vectors
 from claimgraph.sources import documents as D
 
 
@@ -72,6 +73,73 @@ def test_closure(spark, dep, want):
     assert {r["op_id"] for r in commit.closure(ops).collect()} == want
 
 
+def test_closure_follows_long_chains(spark):
+    rows = [("p", f"o{i}", [f"o{i - 1}"] if i else [], "approved" if i else "rejected") for i in range(1000)] + [("q", f"o{i}", [f"o{i - 1}"] if i else [], "approved") for i in range(1000)]
+    rows += [("r", "a", ["b"], "approved"), ("r", "b", ["a"], "approved"), ("r", "c", None, "approved")]
+    ops = spark.createDataFrame(rows, "patch_id string, op_id string, depends_on array<string>, status string")
+    got = commit.closure(ops).collect()
+    assert len(got) == 1001 and {r["patch_id"] for r in got} == {"q", "r"} and [r["op_id"] for r in got if r["patch_id"] == "r"] == ["c"]
+
+
+def test_correlation_counts_both_sides(spark):
+    """Against a plain loop over all pairs."""
+    import random
+
+    rng = random.Random(3)
+    day = lambda: rng.choice([None, "2019", "2020-05", "2021-07-01"])
+    held = [(f"e{i}", f"s{rng.randrange(5)}", f"o{rng.randrange(5)}", rng.choice("pq"), day(), rng.choice([None, "2022"])) for i in range(60)]
+    new = [(f"f{i}", f"s{rng.randrange(7)}", rng.choice("pq"), f"o{rng.randrange(7)}", day()) for i in range(60)] + [("n", None, "p", "o1", "2030"), ("m", None, "p", None, None)]
+    edges = spark.createDataFrame(held, "id string, subject_id string, object_id string, predicate string, valid_from string, valid_to string")
+    facts = spark.createDataFrame(new, "fact_id string, subject_id string, predicate string, object_id string, valid_from string")
+    want = {}
+    for f, s_, p, o, d in new:
+        same = sorted(e[0] for e in held if e[5] is None and e[1:4] == (s_, o, p))
+        met = [e for e in held if e[5] is None and e[3] == p and ((e[1] == s_ and e[2] != o) or (e[2] == o and e[1] != s_))]
+        worst = max([1 if p == "q" else 2 if d is not None and (e[4] is None or d > e[4]) else 3 for e in met], default=0)
+        want[f] = (same[0], 0, "reinforces") if same else (None, len(met), ["new", "extends", "contradicts_temporal", "contradicts_semantic"][worst])
+    got = {r["fact_id"]: (r["edge_id"], r["n_collisions"], r["correlation"]) for r in correlate.correlate(facts, edges, ["q"]).collect()}
+    assert got == want
+    pairs = correlate.collisions(facts.join(correlate.exact(facts, edges), "fact_id", "left_anti"), edges)
+    judged = pairs.withColumn("outcome", correlate.by_rule(F.col("np"), F.col("old_from"), F.col("new_from"), ["q"]))
+    worst = {r["fact_id"]: (None, r["n_collisions"], r["correlation"]) for r in correlate.judged_worst(judged).collect()}
+    assert worst == {k: v for k, v in want.items() if v[1]}
+
+
+def test_strip_takes_all_white_space(spark):
+    text = "# A\n\n\n## B\n\n\tx\u00a0\n\n \u2003 \n\ny"
+    docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
+    got = [(r["block_id"], r["text"], list(r["headings"])) for r in D.markdown(docs).orderBy("pos").collect()]
+    assert got == [("d_b0", "# A", ["A"]), ("d_b1", "## B", ["A", "B"]), ("d_b2", "x", ["A", "B"]), ("d_b4", "y", ["A", "B"])]
+    assert [b[1] for b in got] == [p.strip() for p in text.split("\n\n") if p.strip()]
+
+
+def test_normal_predicates(spark):
+    said = spark.createDataFrame([("works for",), ("eats",)], "predicate string")
+    hits = spark.createDataFrame([("works for", 1, "worksFor", 0.9), ("eats", 1, "worksFor", 0.5)], "query_id string, rank int, key string, score double")
+    assert {tuple(r) for r in resolve.normal_predicates(said, hits).collect()} == {("works for", "worksFor"), ("eats", "eats")}
+    index = vectors.vector_table(spark.createDataFrame([("works at",), ("likes",)], "p string"), "p", F.col("p"))
+    asked = vectors.vector_table(spark.createDataFrame([("works  at",), ("zzz",)], "p string"), "p", F.col("p")).withColumnRenamed("key", "query_id")
+    best = {r["query_id"]: (r["key"], r["score"]) for r in vectors.top_k(asked, index, 1).collect()}
+    assert best["works  at"][0] == "works at" and best["works  at"][1] > 0.7 and best["zzz"][1] < 0.2
+    assert vectors.top_k(asked.limit(0), index, 1).count() == 0
+
+
+def test_stored_vectors_are_brought_up_to_date(spark):
+    rows = spark.createDataFrame([("a", "one"), ("b", "two")], "id string, t string")
+    first = vectors.text_vectors(rows, "id", F.col("t"))
+    marked = first.withColumn("vector", F.array(F.lit(9.0).cast("float")))  # so that a new embedding shows
+    then = vectors.upserted(marked, spark.createDataFrame([("a", "one"), ("b", "TWO!"), ("c", "three")], "id string, t string"), "id", F.col("t"))
+    assert {r["key"]: (r["text"], len(r["vector"])) for r in then.collect()} == {"a": ("one", 1), "b": ("TWO!", vectors.DIM), "c": ("three", vectors.DIM)}
+
+
+def test_four_doors_fuse_meaning_and_words(spark):
+    ents = spark.createDataFrame([("n1", "Acme Corp", "Agent", "makes grippers"), ("n2", "Bern", "Place", None), ("n3", "Zed", "Agent", None)], "id string, name string, entity_type string, description string")
+    facts = spark.createDataFrame([("e1", "n1", "n2", "based in", None, None, ["Acme moved to Bern"], "Acme Corp", "Bern")], "id string, subject_id string, object_id string, predicate string, valid_from string, valid_to string, quotes array<string>, subject string, object string")
+    asked = spark.createDataFrame([("q", "Acme Corp"), ("w", "moved")], "query_id string, query string")
+    got = {(r["query_id"], r["list"]): r["ids"] for r in doors(asked, ents, facts).groupBy("query_id", "list").agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("s")).select("query_id", "list", F.col("s.id").alias("ids")).collect()}
+    assert got["q", 0] == ["n1"] and got["q", 2] == ["n1"] and got["w", 3] == ["n1", "n2"] and ("w", 2) not in got
+
+
 def test_heading_stack(spark):
     text = "# A\n\nx\n\n### C\n\ny\n\n\n\n## B\n\nz"
     docs = spark.createDataFrame([("d", text)], "doc_id string, text string")
@@ -81,11 +149,12 @@ def test_heading_stack(spark):
 
 
 def test_bpmn_becomes_candidates(spark):
-    xml = '<d xmlns="http://www.omg.org/spec/BPMN/20100524/MODEL"><task id="a" name="Pack"/><endEvent id="b"/><sequenceFlow sourceRef="a" targetRef="b" name="ok"/></d>'
+    # An end that is no flow node goes by its id.
+    xml = '<d xmlns="http://www.omg.org/spec/BPMN/20100524/MODEL"><task id="a" name="Pack"/><endEvent id="b"/><sequenceFlow sourceRef="a" targetRef="b" name="ok"/><sequenceFlow sourceRef="b" targetRef="gone"/></d>'
     docs = spark.createDataFrame([("d", xml), ("bad", "<x")], "doc_id string, text string")
     ents, rels = candidates.from_triples(D.bpmn_triples(docs))
-    assert {(r["name"], r["entity_type"]) for r in ents.collect()} == {("Pack", "task"), ("b", "endEvent")}
-    assert [(r["predicate"], r["props"]) for r in rels.collect()] == [("FLOWS_TO", {"condition": "ok"})]
+    assert {(r["name"], r["entity_type"]) for r in ents.collect()} == {("Pack", "task"), ("b", "endEvent"), ("gone", "Concept")}
+    assert [(r["predicate"], r["props"]) for r in rels.orderBy("pos").collect()] == [("FLOWS_TO", {"condition": "ok"}), ("FLOWS_TO", {})]
     assert D.units(D.bpmn(docs)).count() == 0  # structured blocks aren't read again
 
 
