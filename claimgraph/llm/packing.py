@@ -30,7 +30,7 @@ from claimgraph.llm.common import Stage, table
 
 CAPACITY = 1024
 END_ID = 2
-ROWS_A_SALT = 2000
+ROWS_A_SALT = 500
 PATIENCE = 4000
 
 
