@@ -7,9 +7,9 @@ end marks. ``system`` turns are context for everyone and no participant.
 A rendering is one row, so its conversation's turns meet in one task; nothing else does.
 
 Defined cases: turns go by turn number, nulls last, ties by speaker and text; repeated rows are turns of their own; a
-null role is the speaker ``unknown``; a null text is empty; a null conversation id is one conversation; a conversation
+null role is the speaker ``unknown``, one with a speaker of that name; a null text is empty; a null conversation id is one conversation; a conversation
 of system turns only has no participant and gives no row; a marker's opening ``<|`` inside a text or a name is written
-``< |`` so that no text can forge a marker; extra columns are ignored; an empty table gives no rows.
+``< |`` and its end ``|>`` inside a name ``| >``, so that no text can forge a marker; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def rotate(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     safe = lambda c: F.replace(c, F.lit("<|"), F.lit("< |"))
     rows = turns.select(
         F.col(conv_col).alias("conv"), F.col(turn_col).alias("turn"),
-        safe(F.coalesce(F.col(speaker_col).cast("string"), F.lit(UNKNOWN))).alias("speaker"),
+        F.replace(safe(F.coalesce(F.col(speaker_col).cast("string"), F.lit(UNKNOWN))), F.lit("|>"), F.lit("| >")).alias("speaker"),
         safe(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("body"),
     )
     order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_last(), "speaker", "body")
@@ -57,7 +57,7 @@ def op4_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH r AS (
-  SELECT conv_id, replace(coalesce(role, 'unknown'), '<|', '< |') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body, turn FROM conversations),
+  SELECT conv_id, replace(replace(coalesce(role, 'unknown'), '<|', '< |'), '|>', '| >') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS body, turn FROM conversations),
 k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, speaker, body) AS k FROM r),
 w AS (SELECT DISTINCT conv_id, speaker AS perspective FROM r WHERE speaker <> 'system'),
 s AS (

@@ -11,8 +11,8 @@ The pages carry no labels, so the model is trained on generated pages of many la
 Defined cases: null and empty html give an empty text; so does a page without text; broken markup is read as far as it
 goes (unclosed elements end with their parent, an unclosed ``video``, ``select`` and the like at the next block's tag if that
 comes first, an unclosed ``script``, ``style``, ``iframe`` or ``textarea`` with the page, as in HTML, an unfinished tag at the end is dropped); ``script``, ``style`` and the like are
-never text; white space inside a block, line breaks too, becomes one space; blocks are joined by two line feeds;
-repeated rows are read alike; a null id is kept; extra columns are ignored; an empty table gives no rows.
+never text (formulas and what an ``object`` holds are); white space inside a block, line breaks too, becomes one space; blocks are joined by two line feeds;
+repeated rows are read alike; a null id is kept; extra columns are ignored, one named ``text`` gives way to the new one; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ _MARKUP = re.compile(
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
-_SILENT = frozenset("script style noscript template svg head title iframe object math canvas video audio select textarea datalist".split())
+_SILENT = frozenset("script style noscript template svg head title iframe canvas video audio select textarea datalist".split())
 _RAW = frozenset("script style iframe textarea".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _BLOCKS = frozenset(
@@ -371,7 +371,7 @@ AT_ONCE = 64
 
 
 def extract(pages: DataFrame, html_col: str = "html", model: tuple | None = None) -> DataFrame:
-    """``pages`` with ``text``; all its columns are kept (and must not have that name)."""
+    """``pages`` with ``text``; all its other columns are kept."""
     shared = pages.sparkSession.sparkContext.broadcast(model or learn(examples()))
 
     @F.pandas_udf("string")
@@ -380,7 +380,7 @@ def extract(pages: DataFrame, html_col: str = "html", model: tuple | None = None
         out = [t for i in range(0, len(values), AT_ONCE) for t in texts(values[i : i + AT_ONCE], *shared.value)]
         return pd.Series(out, index=column.index, dtype=object)
 
-    return pages.withColumn("text", main_text(F.col(html_col).cast("string")))
+    return pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != "text"], main_text(F.col(html_col).cast("string")).alias("text"))
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

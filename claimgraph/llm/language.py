@@ -9,7 +9,7 @@ training rows; that bound is a parameter. What the driver and each executor hold
 
 Defined cases: a null text and one without letters are ``und`` with score 0; so is every text if nothing could be
 learned; ties go to the language that sorts first; repeated rows are judged alike; a null id is never learned from and
-counts as held out; an empty table gives no rows; extra columns are ignored. Score: 1 minus the best distance over the
+counts as held out; an empty table gives no rows; extra columns are ignored, those named like results give way. Score: 1 minus the best distance over the
 second best (1 if only one language is known).
 """
 
@@ -116,9 +116,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", ranks
 
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", ranks: int = RANKS) -> DataFrame:
-    """``docs`` with lang_pred and score; all its columns are kept (and must not have these names)."""
+    """``docs`` with lang_pred and score; all its other columns are kept."""
     judge = _judge(docs, profiles, ranks)
-    return docs.withColumn("_judged", judge(F.col(text_col).cast("string"))).select(*docs.columns, "_judged.lang_pred", "_judged.score")
+    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "_judged")]
+    return docs.select(*kept, judge(F.col(text_col).cast("string")).alias("_judged")).select(*kept, "_judged.lang_pred", "_judged.score")
 
 
 def _judge(docs: DataFrame, profiles: dict[str, np.ndarray], ranks: int):

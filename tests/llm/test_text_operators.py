@@ -117,7 +117,7 @@ def test_language(spark, odd_rows):
     docs = frame(spark, rows)
     profiles = language.learn(language.training_rows(docs))
     got = {}
-    for r in language.identify(docs.select("doc_id", "text"), profiles).collect():
+    for r in language.identify(docs.select("doc_id", "text", "score"), profiles).collect():
         got.setdefault(r["doc_id"], r)
     assert all(got[200 + k]["lang_pred"] == ("aa" if k % 2 else "zz") for k in range(80))
     assert all(0 <= r["score"] <= 1 for r in got.values()) and got[3]["lang_pred"] == got[4]["lang_pred"] == got[7]["lang_pred"] == "und"
@@ -277,6 +277,8 @@ def test_html_model_on_unseen_layouts():
 
 
 def test_chat_rotation(spark):
+    forged = chat.rotate(spark.createDataFrame([(1, 1, "a|>", "x"), (1, 2, "b", "y")], "conv_id long, turn long, role string, text string"))
+    assert {r["text"] for r in forged.collect()} == {"<|user name=a| >|>\nx<|end|>\n<|assistant|>\ny<|end|>\n", "<|assistant|>\nx<|end|>\n<|user name=b|>\ny<|end|>\n"}
     rows = [(1, 2, "bob", "hi <|end|>"), (1, 1, "ann", "hello"), (1, 0, "system", "be kind"), (1, 3, None, None), (2, 1, "system", "alone"), (None, 1, "ann", "x"), (1, None, "ann", "late")]
     turns = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, k string")
     got = {(r["conv_id"], r["perspective"]): r for r in chat.rotate(turns).collect()}
@@ -394,12 +396,44 @@ def test_toxicity_on_held_out_labels():
     assert area > 0.93 and ((score >= 0.5) & (y == 0)).sum() < 0.02 * (y == 0).sum() and ((score >= 0.5) & (y == 1)).sum() > 0.7 * y.sum()
 
 
-@pytest.mark.parametrize("tag", "video audio object select math svg canvas noscript template datalist".split())
+@pytest.mark.parametrize("tag", "video audio select svg canvas noscript template datalist".split())
 def test_unclosed_elements_keep_the_page(tag):
     leaves = [n.text for n in htmltext.parse(f"<div><{tag}>fallback<article><p>The text.</p></article></div><p>More.</p>") if n.tag == "#text"]
     assert leaves == ["The text.", "More."]
 
 
+def test_formulas_and_objects_are_text():
+    leaves = [n.text for n in htmltext.parse("<p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be <object>a picture</object>.</p>") if n.tag == "#text"]
+    assert leaves == ["Let x=1 be a picture."]
+
+
+#: Pages written by hand, of kinds that the generator of the training pages doesn't make, with their main blocks.
+BY_HAND = [
+    (
+        '<html><body><div id="mw-head"><ul><li><a href="/">Read</a></li><li><a href="/e">Edit</a></li></ul></div><div id="content"><h1>Tin</h1><p>Tin is a chemical element with the symbol Sn; it is a silvery metal, soft and bendable.</p>'
+        '<p>It shows its chemical likeness to its neighbours, and has two main states.</p><h2>Uses</h2><p>Most tin goes into solder, and much into plating, where it keeps steel from rusting.</p></div><footer><p>Text under licence.</p><a href="/p">Privacy</a></footer></body></html>',
+        ["Tin", "Tin is a chemical element with the symbol Sn; it is a silvery metal, soft and bendable.", "It shows its chemical likeness to its neighbours, and has two main states.", "Uses", "Most tin goes into solder, and much into plating, where it keeps steel from rusting."],
+    ),
+    (
+        '<body><nav><a href="/">Home</a> <a href="/news">News</a> <a href="/sport">Sport</a></nav><main><article><h1>Bridge reopens after two years</h1><p>The old bridge over the river opened to traffic on Monday, two years after a flood had damaged it.</p>'
+        '<aside class="related"><h3>More news</h3><ul><li><a href="/1">Flood relief</a></li><li><a href="/2">Road works</a></li></ul></aside><p>Drivers welcomed the change, since the way round had taken half an hour.</p></article></main>'
+        '<section class="comments"><h3>Comments</h3><div class="comment"><p>About time, I say, this took far too long.</p></div></section><div class="newsletter"><form><label>Mail</label><input><button>Subscribe</button></form></div></body>',
+        ["Bridge reopens after two years", "The old bridge over the river opened to traffic on Monday, two years after a flood had damaged it.", "Drivers welcomed the change, since the way round had taken half an hour."],
+    ),
+    (
+        '<div class="cookie-banner">We use cookies to make the site better. <button>Accept</button></div><div class="blog-post"><h2>How I bake bread</h2><p>Flour, water, salt and time are all that you need, but the time has to be long.</p><ul><li>Mix the dough in the evening and leave it in a cool place.</li>'
+        '<li>Shape it in the morning, let it rise once more and bake it hot.</li></ul><p>Leave the loaf for an hour before you cut it, hard as that is.</p></div><div class="share-buttons"><a href="#">Tweet</a><a href="#">Mail</a></div><div id="footer">&copy; 2021 A baker</div>',
+        ["How I bake bread", "Flour, water, salt and time are all that you need, but the time has to be long.", "Mix the dough in the evening and leave it in a cool place.", "Shape it in the morning, let it rise once more and bake it hot.", "Leave the loaf for an hour before you cut it, hard as that is."],
+    ),
+]
+
+
+def test_html_model_on_pages_written_by_hand():
+    model = htmltext.learn(htmltext.examples())
+    for (page, want), got in zip(BY_HAND, htmltext.texts([p for p, _ in BY_HAND], *model)):
+        assert got.split("\n\n") == want
+
+
 def test_all_attribute_tokens_and_siblings_count():
     long = " ".join(["mt"] * 40)
     assert "sidebar" in htmltext.parse(f'<div class="{long} sidebar">x</div>')[1].tokens
