@@ -1,4 +1,8 @@
-"""From raw documents to packed sequences: five stages, each one operator, each written as Parquet and read again."""
+"""From raw documents to packed sequences: five stages, each one operator, each written as Parquet and read again.
+
+Defined cases, beside those of the operators: an empty table passes every stage as one; further columns pass all stages but the last; rows that share
+an id are one document to the second stage, which keeps one of them; rows without an id can't be told apart there and stay.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +17,7 @@ from claimgraph.llm.substrings import without_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no language can be told (no text, no letters) go."""
+    """Documents in which no language can be told (null, empty, no letters) go; so do all if none could be learned."""
     return keep_identified(docs)
 
 
@@ -23,13 +27,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by a repeated window go from all but its first place; n_chars follows. Every document stays."""
+    """Words covered by a repeated window go from all but its first place; n_chars follows. Every document stays, also one that loses all its words."""
     cut = without_repeats(docs)
     return cut.selectExpr(*[f"cast(coalesce(char_length(text), 0) AS {t}) AS n_chars" if c == "n_chars" else f"`{c}`" for c, t in docs.dtypes])
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go; null items and an empty benchmark reject nothing."""
     return without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
