@@ -1,18 +1,19 @@
-"""Katz backoff language model (operator 9): Good-Turing discounted bigrams over unigrams, exactly normalised.
+"""Katz backoff language model (operator 9): Good-Turing discounted n-grams over unigrams, exactly normalised.
 
-Counts come from all training texts. Texts are dealt into chunks by a hash of the id; a chunk sends each of its distinct words
-and word pairs once, packed with its count, to the partition that owns the key's hash range. That partition holds the
-total counts and answers each chunk in the order asked. Backoff weights are gathered the same way: a chunk adds
-up, for each context, the discounted mass and the unigram mass of the pairs it saw (a pair's share in proportion to
+Counts come from all training texts. Texts are dealt into chunks by a hash of the id; a chunk sends each of its distinct n-grams of every
+order once, packed with its count, to the partition that owns the key's hash range. That partition holds the
+total counts and answers each chunk in the order asked. Backoff weights are gathered the same way, one order after the other: a chunk adds
+up, for each context, the discounted mass and the lower order's mass of the n-grams it saw (an n-gram's share in proportion to
 the chunk's part of its count), and the owner of the context sums them and answers with the weight. So a common word
 costs a partition one entry a chunk, no table is broadcast, and what reaches the driver is a few numbers a partition.
 
-P(w | h) = c*(h, w) / c(h) where the pair was seen, else a(h) P(w), or P(w) where the context was not seen; P(w) =
-c*(w) / N, and what the discounts free is the probability of any unknown word. Counts over 5 aren't discounted; where
+With h the last ``order - 1`` words (a text's beginning fills up what is missing) and h' without its first: P(w | h) = c*(h, w) / c(h) where the n-gram
+was seen, else a(h) P(w | h'), or P(w | h') where the context was not seen; P(w) =
+c*(w) / N, and what the discounts free is the probability of any unknown word. The order is a parameter, ``ORDER`` by default. Counts over 5 aren't discounted; where
 Good-Turing's discount isn't between 0 and 1, half a count is taken off. If nothing is freed (no small counts), half a
 count is added to the denominator and set aside, so that every distribution sums to 1 over known words and the unknown word.
 
-Keys are 64-bit hashes of words and of pairs.
+Keys are 64-bit hashes of words and of longer n-grams.
 
 Defined cases: null, empty and blank texts are the end token alone; repeated rows count and score once each; a null id
 is learned from by nobody and counts as held out; with nothing to learn from every token has probability 1 in the model and N and V are 0;
@@ -33,8 +34,9 @@ FOLDS, HELD_OUT = 10, 0
 LARGEST = 5
 CHUNK_BYTES = 4_000_000
 KEYS_A_BUCKET = 2_000_000
+ORDER = 2
 _END, _BEGIN = np.uint64(0x1D8AF066F2D6B1F5), np.uint64(0x7A3C5B9E1F204D68)
-_WORDS, _PAIRS, _CONTEXTS = 0, 1, 2
+_CONTEXTS = 100  # kinds of rows: n for n-grams, _CONTEXTS + n for contexts of n words
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -47,10 +49,19 @@ def _pair_keys(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+class Grams:
+    """The distinct n-grams of a chunk in the order of their keys, and for each token the one that ends there."""
+
+    def __init__(self, keys: np.ndarray, learn: np.ndarray, last: np.ndarray):
+        self.keys, first, self.of = np.unique(keys, return_index=True, return_inverse=True)
+        self.counts = np.bincount(self.of[learn], minlength=len(self.keys))
+        self.first, self.ends = first, last[first]
+
+
 class Chunk:
-    """The tokens of some texts, and their distinct words and pairs in the order of their keys."""
+    """The tokens of some texts, and their distinct n-grams of each order."""
 
-    def __init__(self, texts, train):
+    def __init__(self, texts, train, order: int = ORDER):
         digest, parts, lens = xxhash.xxh3_64_digest, [], []
         end = _END.tobytes()
         for text in texts:
@@ -61,28 +72,37 @@ class Chunk:
         w = np.frombuffer(b"".join(parts), np.uint64)
         self.lens = np.array(lens, np.int64)
         self.starts = np.cumsum(self.lens) - self.lens
-        h = np.empty_like(w)
-        h[1:] = w[:-1]
-        h[self.starts] = _BEGIN
         learn = np.repeat(np.asarray(train, bool), self.lens)
-        self.words, self.word = np.unique(w, return_inverse=True)
-        self.word_counts = np.bincount(self.word[learn], minlength=len(self.words))
-        #: a token's context: a place among the words, or one past them for the beginning of a text
-        self.context = np.empty(len(w), np.int64)
-        self.context[1:] = self.word[:-1]
-        self.context[self.starts] = len(self.words)
-        self.pairs, first, self.pair = np.unique(_pair_keys(h, w), return_index=True, return_inverse=True)
-        self.pair_counts = np.bincount(self.pair[learn], minlength=len(self.pairs))
-        self.pair_word, self.pair_context = self.word[first], self.context[first]
-
-    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
-        """Keys of all contexts in order, and the place of each of ``words`` and of the beginning among them."""
-        keys = np.r_[self.words, _BEGIN]
+        self.grams, self.contexts, key, begin = [Grams(w, learn, w == _END)], [], w, _BEGIN
+        for _ in range(1, order):
+            before, below = np.empty_like(w), self.grams[-1]
+            before[1:] = key[:-1]
+            before[self.starts] = begin
+            key = _pair_keys(before, w)
+            #: a token's context: a place among the n-grams of one word less, or one past them where a text begins
+            context = np.empty(len(w), np.int64)
+            context[1:] = below.of[:-1]
+            context[self.starts] = len(below.keys)
+            g = Grams(key, learn, w == _END)
+            g.suffix, g.context = below.of[g.first], context[g.first]
+            self.contexts.append((begin, below))
+            self.grams.append(g)
+            begin = _pair_keys(np.array([begin]), np.array([_BEGIN]))[0]
+
+    def context_keys(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of all contexts of ``n`` words in order, and the place of each n-gram and of the beginning among them."""
+        begin, below = self.contexts[n - 1]
+        keys = np.r_[below.keys, begin]
         order = np.argsort(keys, kind="stable")
         place = np.empty(len(keys), np.int64)
         place[order] = np.arange(len(keys))
         return keys[order], place
 
+    def context_counts(self, n: int, totals: list[np.ndarray]) -> np.ndarray:
+        """How often the contexts of ``n`` words are followed by a token. What ends a text is no context; every training text has one beginning and one end."""
+        begins = totals[0][int(np.searchsorted(self.grams[0].keys, _END))]
+        return np.r_[np.where(self.grams[n - 1].ends, 0, totals[n - 1]), begins].astype(np.float64)
+
 
 def _slices(keys: np.ndarray, buckets: int):
     """(bucket, from, to) of sorted keys; a bucket is a range of hashes."""
@@ -95,13 +115,13 @@ def _slices(keys: np.ndarray, buckets: int):
 
 
 class Discounts:
-    """Discounted counts of words and pairs from their counts of counts, and the unigram distribution."""
+    """Discounted counts of each order from their counts of counts, and the unigram distribution."""
 
-    def __init__(self, words, pairs):
+    def __init__(self, stats: list):
+        words = stats[0]
         self.total, self.types = int(words[LARGEST + 1]), int(words[LARGEST + 2])
-        self.word = self._factors(words[: LARGEST + 1])
-        self.pair = self._factors(pairs[: LARGEST + 1])
-        freed = sum(r * words[r - 1] * (1 - self.word[r]) for r in range(1, LARGEST + 1))
+        self.factors = [self._factors(x[: LARGEST + 1]) for x in stats]
+        freed = sum(r * words[r - 1] * (1 - self.factors[0][r]) for r in range(1, LARGEST + 1))
         self.unknown = float(freed) if freed > 1e-9 else 0.5
         self.mass = float(self.total if freed > 1e-9 else self.total + 0.5)
 
@@ -115,13 +135,23 @@ class Discounts:
             out[r] = d if 0 < d < 1 else (r - 0.5) / r
         return out
 
-    def of(self, factors: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return counts * factors[np.minimum(counts, LARGEST + 1)]
+    def of(self, n: int, counts: np.ndarray) -> np.ndarray:
+        return counts * self.factors[n - 1][np.minimum(counts, LARGEST + 1)]
 
     def unigram(self, counts: np.ndarray) -> np.ndarray:
         if not self.total:
             return np.ones(len(counts))
-        return np.where(counts > 0, self.of(self.word, counts), self.unknown) / self.mass
+        return np.where(counts > 0, self.of(1, counts), self.unknown) / self.mass
+
+    def chances(self, c: Chunk, totals: list[np.ndarray], weights: list[tuple], n: int) -> np.ndarray:
+        """log10 P of each n-gram's last word after its others: seen ones from their count, all others by way of the next shorter one."""
+        if n == 1:
+            return np.log10(self.unigram(totals[0]))
+        g, total = c.grams[n - 1], totals[n - 1]
+        weight, bare = weights[n - 2]
+        below = np.maximum(c.context_counts(n - 1, totals) + 0.5 * bare, 1e-300)
+        seen = np.log10(np.maximum(self.of(n, total), 1e-300)) - np.log10(below)[g.context]
+        return np.where(total > 0, seen, weight[g.context] + self.chances(c, totals, weights, n - 1)[g.suffix])
 
 
 def _weights(seen_mass, freed, counts) -> tuple[np.ndarray, np.ndarray]:
@@ -141,21 +171,24 @@ def _ask(rows: list) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "bucket", "chunk", "keys", "a", "b", "c"])
 
 
-def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, keys_a_bucket: int = KEYS_A_BUCKET) -> DataFrame:
+def score(
+    docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER,
+    chunk_bytes: int = CHUNK_BYTES, keys_a_bucket: int = KEYS_A_BUCKET,
+) -> DataFrame:
     """Per row: id, held_out (not ``train``), n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     chunks = max(1, ((size[0] or 0) + size[1]) // chunk_bytes)
     buckets = 1 << max(0, int(np.ceil(np.log2(max(1, (size[0] or 0) / 6 / keys_a_bucket)))))
-    word_buckets = max(1, buckets // 4)
+    buckets_of = lambda n: max(1, buckets // 4) if n == 1 else buckets
+    orders = range(1, order + 1)
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", F.substring("text", 1, 64)), F.lit(chunks)))
 
     def ask_counts(key, pdf):
-        c, out = Chunk(pdf["text"], pdf["train"]), []
-        for what, keys, counts, n in ((_WORDS, c.words, c.word_counts, word_buckets), (_PAIRS, c.pairs, c.pair_counts, buckets)):
-            for b, i, j in _slices(keys, n):
-                out.append((what, b, key[0], keys[i:j].tobytes(), counts[i:j].astype("<u4").tobytes(), None, None))
+        c, out = Chunk(pdf["text"], pdf["train"], order), []
+        for n, g in zip(orders, c.grams):
+            for b, i, j in _slices(g.keys, buckets_of(n)):
+                out.append((n, b, key[0], g.keys[i:j].tobytes(), g.counts[i:j].astype("<u4").tobytes(), None, None))
         return _ask(out)
 
     def tell_counts(key, pdf):
@@ -176,32 +209,38 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     told = Stage(asked.groupBy("kind", "bucket").applyInPandas(tell_counts, _TELL), "counts").df
     sums = {r["kind"]: np.array(r["s"]) for r in told.filter("chunk = -1").groupBy("kind").agg(
         F.array(*[F.sum(F.col("stats")[i]) for i in range(LARGEST + 3)]).alias("s")).collect()}
-    none = np.zeros(LARGEST + 3)
-    model = Discounts(sums.get(_WORDS, none), sums.get(_PAIRS, none))
+    model = Discounts([sums.get(n, np.zeros(LARGEST + 3)) for n in orders])
     counts = told.filter("chunk >= 0").select("kind", "bucket", "chunk", "a", "b")
 
-    def answers(pdf, what: int, column: str, dtype) -> np.ndarray:
-        mine = pdf[pdf["kind"] == what].sort_values("bucket")
+    def read(pdf, kind: int, column: str, dtype) -> np.ndarray:
+        mine = pdf[pdf["kind"] == kind].sort_values("bucket")
         return np.frombuffer(b"".join(mine[column]), dtype)
 
-    def context_counts(c: Chunk, words: np.ndarray) -> np.ndarray:
-        """Of the words and the beginning. A text's end is no context; every training text has one beginning and one end."""
-        end = int(np.searchsorted(c.words, _END))
-        out = np.r_[words, words[end]].astype(np.float64)
-        out[end] = 0
-        return out
-
-    def ask_weights(key, pdf, answer):
-        c = Chunk(pdf["text"], pdf["train"])
-        words, pairs = answers(answer, _WORDS, "a", "<u8").astype(np.int64), answers(answer, _PAIRS, "a", "<u8").astype(np.int64)
-        learned = c.pair_counts > 0
-        n, total, where = c.pair_counts[learned], pairs[learned], c.pair_context[learned]
-        seen = np.bincount(where, n / total * model.unigram(words)[c.pair_word[learned]], len(c.words) + 1)
-        freed = np.bincount(where, n / total * (total - model.of(model.pair, total)), len(c.words) + 1)
-        keys, place = c.contexts()
-        order = np.argsort(place)
-        seen, freed, have = (x[order].astype("<f8") for x in (seen, freed, context_counts(c, words)))
-        return _ask([(_CONTEXTS, b, key[0], *(x[i:j].tobytes() for x in (keys, seen, freed, have))) for b, i, j in _slices(keys, word_buckets)])
+    def answers(c: Chunk, pdf, upto: int) -> tuple[list, list]:
+        """Total counts of all orders, and the weights of contexts of fewer than ``upto`` words, in the order of ``Chunk``."""
+        totals = [read(pdf, n, "a", "<u8").astype(np.int64) for n in orders]
+        places = [c.context_keys(n)[1] for n in range(1, upto)]
+        return totals, [(read(pdf, _CONTEXTS + n, "a", "<f8")[p], read(pdf, _CONTEXTS + n, "b", "u1")[p]) for n, p in enumerate(places, 1)]
+
+    def ask_weights(n: int):
+        """For contexts of ``n`` words: what the chunk's learned n-grams of one word more take from, and leave to, the lower order."""
+
+        def ask(key, pdf, answer):
+            c = Chunk(pdf["text"], pdf["train"], order)
+            totals, weights = answers(c, answer, n)
+            g = c.grams[n]
+            learned = g.counts > 0
+            share, total, where = (g.counts / np.maximum(totals[n], 1))[learned], totals[n][learned], g.context[learned]
+            lower = 10 ** model.chances(c, totals, weights, n)
+            size = len(c.grams[n - 1].keys) + 1
+            seen = np.bincount(where, share * lower[g.suffix[learned]], size)
+            freed = np.bincount(where, share * (total - model.of(n + 1, total)), size)
+            keys, place = c.context_keys(n)
+            back = np.argsort(place)
+            seen, freed, have = (x[back].astype("<f8") for x in (seen, freed, c.context_counts(n, totals)))
+            return _ask([(_CONTEXTS + n, b, key[0], *(x[i:j].tobytes() for x in (keys, seen, freed, have))) for b, i, j in _slices(keys, buckets_of(n))])
+
+        return ask
 
     def tell_weights(key, pdf):
         pdf = pdf.sort_values("chunk")
@@ -214,33 +253,29 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         ends = np.cumsum([len(k) // 8 for k in pdf["keys"]])
         cut = [slice(e - len(k) // 8, e) for e, k in zip(ends, pdf["keys"])]
         return pd.DataFrame({
-            "kind": _CONTEXTS, "bucket": int(key[1]), "chunk": pdf["chunk"].to_numpy(),
+            "kind": int(key[0]), "bucket": int(key[1]), "chunk": pdf["chunk"].to_numpy(),
             "a": [weight[s].tobytes() for s in cut], "b": [(below[s] != np.floor(below[s])).astype("u1").tobytes() for s in cut], "stats": None,
         })
 
-    asked = rows.groupBy("chunk").cogroup(counts.groupBy("chunk")).applyInPandas(ask_weights, _ASK)
-    weights = Stage(asked.groupBy("kind", "bucket").applyInPandas(tell_weights, _TELL), "weights").df.drop("stats")
+    known = counts
+    for n in range(1, order):
+        asked = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(ask_weights(n), _ASK)
+        known = known.unionByName(Stage(asked.groupBy("kind", "bucket").applyInPandas(tell_weights, _TELL), "weights").df.drop("stats"))
 
     def judge(key, pdf, answer):
-        c = Chunk(pdf["text"], pdf["train"])
-        words, pairs = answers(answer, _WORDS, "a", "<u8").astype(np.int64), answers(answer, _PAIRS, "a", "<u8").astype(np.int64)
-        _, place = c.contexts()
-        weight, bare = answers(answer, _CONTEXTS, "a", "<f8")[place], answers(answer, _CONTEXTS, "b", "u1")[place]
-        below = np.maximum(context_counts(c, words) + 0.5 * bare, 1e-300)
-        total = pairs[c.pair] if len(pairs) else np.zeros(0, np.int64)
-        seen = np.log10(np.maximum(model.of(model.pair, total), 1e-300)) - np.log10(below)[c.context]
-        unigram = np.log10(model.unigram(words))[c.word]
-        token = np.where(total > 0, seen, weight[c.context] + unigram)
-        base = np.log10((words + 0.1) / (model.total + 0.1 * (model.types + 1)))[c.word]
+        c = Chunk(pdf["text"], pdf["train"], order)
+        totals, weights = answers(c, answer, order)
+        words, word = totals[0], c.grams[0].of
+        token = model.chances(c, totals, weights, order)[c.grams[-1].of]
+        base = np.log10((words + 0.1) / (model.total + 0.1 * (model.types + 1)))[word]
         add = lambda x: np.add.reduceat(x, c.starts)
         return pd.DataFrame({
-            "id": pdf["id"], "held_out": ~pdf["train"].to_numpy(bool), "n_tokens": c.lens, "n_known": add((words > 0)[c.word].astype(np.int64)),
+            "id": pdf["id"], "held_out": ~pdf["train"].to_numpy(bool), "n_tokens": c.lens, "n_known": add((words > 0)[word].astype(np.int64)),
             "train_tokens": model.total, "base_score": add(base), "score": add(token),
         })
 
-    every = counts.unionByName(weights).groupBy("chunk")
     schema = "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return rows.groupBy("chunk").cogroup(every).applyInPandas(judge, schema).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
+    return rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(judge, schema).withColumn("id", F.col("id").cast(docs.schema[id_col].dataType)).withColumnRenamed("id", id_col)
 
 
 def op9_katz(spark: SparkSession, sf_dir: str) -> DataFrame:

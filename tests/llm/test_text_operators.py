@@ -232,6 +232,67 @@ def test_katz_against_brute_force_and_sums_to_one(spark, odd_rows):
     assert all(r["score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 for r in nobody)
 
 
+def test_katz_backs_off_recursively(spark, odd_rows):
+    """Order 3 against a plain recursion over dictionaries; the distributions sum to one."""
+    import math
+
+    rng = random.Random(13)
+    rows = odd_rows + [(300 + k, " ".join(rng.choice(["the", "a", "cat", "dog", "sat", words(rng, 1)]) for _ in range(40)), "en") for k in range(50)]
+    got = katz.score(frame(spark, rows), katz.bucket_of("doc_id", 10) != 0, order=3, chunk_bytes=3000, keys_a_bucket=200).collect()
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
+    texts = [(i, (t or "").encode().lower().split() + ["end"]) for i, t, _ in rows]
+    grams: dict = {n: Counter() for n in (1, 2, 3)}
+    for i, w in texts:
+        if not held(i):
+            padded = ["begin", "begin", *w]
+            for n in grams:
+                grams[n].update(tuple(padded[k - n + 1 : k + 1]) for k in range(2, len(padded)))
+
+    def factor(c):
+        n = Counter(c.values())
+        cut = 6 * n[6] / n[1] if n[1] else 1.0
+        d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - cut) / (1 - cut) if n[r] and cut < 1 else 0 for r in range(1, 6)}
+        return lambda k: k * ((d[k] if 0 < d[k] < 1 else (k - 0.5) / k) if k <= 5 else 1)
+
+    cut, total = {n: factor(c) for n, c in grams.items()}, sum(grams[1].values())
+    unknown = sum(c - cut[1](c) for c in grams[1].values()) / total
+    after: dict = {}
+    for n in (2, 3):
+        for g, c in grams[n].items():
+            after.setdefault(g[:-1], []).append((g[-1], c, c - cut[n](c)))
+
+    def p(h, w):
+        if not h:
+            return cut[1](grams[1][w,]) / total if (w,) in grams[1] else unknown
+        if h not in after:
+            return p(h[1:], w)
+        freed = sum(f for _, _, f in after[h])
+        bare = freed < 1e-9
+        below = sum(c for _, c, _ in after[h]) + 0.5 * bare
+        if (*h, w) in grams[len(h) + 1]:
+            return cut[len(h) + 1](grams[len(h) + 1][(*h, w)]) / below
+        return weight(h, freed, bare, below) * p(h[1:], w)
+
+    known: dict = {}
+
+    def weight(h, freed, bare, below):
+        if h not in known:
+            known[h] = (0.5 if bare else freed) / below / (1 - sum(p(h[1:], v) for v, _, _ in after[h]))
+        return known[h]
+
+    for h in [("begin", "begin"), ("begin", b"the"), (b"the", b"cat"), (b"never", b"the"), (b"a", b"never")]:
+        assert abs(sum(p(h, w) for (w,) in grams[1]) + p(h, b"\0") - 1) < 1e-9
+    want = {}
+    for i, w in texts:
+        padded = ["begin", "begin", *w]
+        want.setdefault((str(i), len(w)), []).append(sum(math.log10(p(tuple(padded[k - 2 : k]), padded[k])) for k in range(2, len(padded))))
+    have: dict = {}
+    for r in got:
+        have.setdefault((str(r["doc_id"]), r["n_tokens"]), []).append(r["score"])
+    assert have.keys() == want.keys() and all(np.allclose(sorted(have[k]), sorted(v), atol=1e-6) for k, v in want.items())
+    assert {tuple(r)[:6] for r in katz.score(frame(spark, rows), katz.bucket_of("doc_id", 10) != 0, order=1).collect()} == {tuple(r)[:6] for r in got}
+
+
 def test_toxicity_learns_inserted_words(spark, odd_rows):
     rng = random.Random(12)
     bad = ["zorkel", "blimfug", "quaxnit"]
