@@ -33,6 +33,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 FUNCTIONS = 16
 KEPT = 3
+AT_ONCE = 512
 _LAST = 2**63 - 1
 
 
@@ -150,6 +151,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFram
             known: dict[int, np.ndarray] = {}
             keep = []
             for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
+                if len(known) > AT_ONCE:  # the rows come sorted by one side, so what is read again is near
+                    known.clear()
                 x, y = (known[n] if n in known else known.setdefault(n, shingles(words_of(t), rolling)) for n, t in ((a, ta), (b, tb)))
                 need = needed(len(x), len(y), similarity)
                 keep.append(aligned(x, y, need) >= need)
@@ -192,9 +195,11 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, similarity: float) -> Data
 
     def marked(batches):
         rolling = Rolling()
-        for pdf in batches:
-            x = [labelled(shingles(words_of(t), rolling)).view(np.int64) for t in pdf["text"]]
-            yield pd.DataFrame({"node": pdf["node"], "comp": pdf["comp"], "n": [len(v) for v in x], "x": x})
+        for whole in batches:
+            for at in range(0, len(whole), AT_ONCE):
+                pdf = whole.iloc[at : at + AT_ONCE]
+                x = [labelled(shingles(words_of(t), rolling)).view(np.int64) for t in pdf["text"]]
+                yield pd.DataFrame({"node": pdf["node"], "comp": pdf["comp"], "n": [len(v) for v in x], "x": x})
 
     sets = Stage(texts.join(open_, "node").mapInPandas(marked, "node long, comp long, n int, x array<long>"), "sets").df
     each = sets.select("node", "comp", "n", F.explode("x").alias("x"))
