@@ -76,8 +76,11 @@ def sketch(x: np.ndarray, functions: int = FUNCTIONS, kept: int = KEPT) -> tuple
     """Per hash function: a hash of its smallest labelled shingles in text order; and all of these shingles."""
     x = labelled(x)
     kept = min(kept, len(x))
-    values = x[None, :] * _SEEDS[:functions, None]
-    at = np.argpartition(values, kept - 1, axis=1)[:, :kept] if kept < len(x) else np.tile(np.arange(len(x)), (functions, 1))
+    if kept < len(x):
+        step = max(1, 1_000_000 // len(x))  # a very long text goes by a few functions at once
+        at = np.concatenate([np.argpartition(x[None, :] * _SEEDS[i : min(i + step, functions), None], kept - 1, axis=1)[:, :kept] for i in range(0, functions, step)])
+    else:
+        at = np.tile(np.arange(len(x)), (functions, 1))
     chosen = x[np.sort(at, axis=1)]
     out = np.full(functions, kept, np.uint64)
     for j in range(kept):
