@@ -26,6 +26,7 @@ RANKS = 400
 SAMPLE = 2000
 FOLDS, HELD_OUT = 4, 2
 SAMPLE_TASKS = 32
+BLOCK = 100_000
 _LETTERS: list[np.ndarray] = []
 
 
@@ -43,13 +44,23 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     c = _letters()[np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32)]
     blank = c == 32
     keep = ~(blank[1:] & blank[:-1])
-    c = np.r_[c[:1], c[1:][keep]].astype(np.uint64)
+    c = np.r_[c[:1], c[1:][keep]]
     if len(c) < 3:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    parts = [_counted(c[i : i + BLOCK + 2], BLOCK) for i in range(0, len(c), BLOCK)]  # so that a very long text takes no more memory
+    if len(parts) == 1:
+        return parts[0]
+    codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def _counted(c: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of the 1- to 3-grams that start at the first ``n`` places; a 3-gram's middle is a letter."""
+    c = c.astype(np.uint64)
     blank = c == 32
     two = c[:-1] | c[1:] << np.uint64(21)
-    three = (two[:-1] | c[2:] << np.uint64(42))[~blank[1:-1]]
-    return np.unique(np.concatenate([c[~blank], two, three]), return_counts=True)
+    three = (two[:-1] | c[2:] << np.uint64(42))[:n][~blank[1:-1][:n]]
+    return np.unique(np.concatenate([c[:n][~blank[:n]], two[:n], three]), return_counts=True)
 
 
 def top(codes: np.ndarray, counts: np.ndarray, ranks: int) -> np.ndarray:

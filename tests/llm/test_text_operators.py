@@ -126,6 +126,24 @@ def test_language(spark, odd_rows):
     assert {r["lang_pred"] for r in language.identify(docs.select("text"), {}).collect()} == {"und"}
 
 
+def test_grams_of_long_texts_are_counted_in_blocks(monkeypatch):
+    rng = random.Random(29)
+    texts = [words(rng, n) for n in (1, 2, 3, 40, 400)] + ["a", "ab", " é1ß ", "x  y"]
+    whole = [language.grams(t) for t in texts]
+    for t, (codes, counts) in zip(texts, whole):
+        plain, padded = Counter(), " " + " ".join("".join(ch if ch.isalpha() else " " for ch in t.lower()).split()) + " "
+        for n in (1, 2, 3):
+            for i in range(len(padded) - n + 1):
+                g = padded[i : i + n]
+                if g != " " and not (n == 3 and g[1] == " "):
+                    plain[sum(ord(ch) << 21 * k for k, ch in enumerate(g))] += 1
+        assert dict(zip(codes.tolist(), counts.tolist())) == plain
+    monkeypatch.setattr(language, "BLOCK", 7)
+    for t, (codes, counts) in zip(texts, whole):
+        again = language.grams(t)
+        assert (again[0] == codes).all() and (again[1] == counts).all()
+
+
 def brute_classes(rows):
     rolling = near_duplicates.Rolling()
     x = [near_duplicates.shingles(near_duplicates.words_of(t), rolling) for _, t, _ in rows]
