@@ -223,6 +223,16 @@ def _prefix_pairs(open_: DataFrame, texts: DataFrame, similarity: float) -> Data
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp) once ``links`` (a, b) join the components ``comps`` too: only links between components are followed again."""
+    for side in "ab":
+        links = links.join(comps.select(F.col("node").alias(side), F.col("comp").alias("c")), side, "left").withColumn(side, F.coalesce("c", side)).drop("c")
+    more = Stage(components(links), "components").df
+    alone = more.join(comps, "node", "left_anti")
+    moved = comps.join(more.select(F.col("node").alias("comp"), F.col("comp").alias("c")), "comp", "left").select("node", F.coalesce("c", "comp").alias("comp"))
+    return Stage(moved.unionByName(alone), "components").df
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """Per row: its id and ``class_id``, the smallest id of its class (the row's own id if it is alone)."""
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -246,7 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = Stage(_verified(Stage(_likely(_with_leader(members), marks, similarity), "likely").df, texts, similarity), "links").df
     comps = Stage(components(links), "components").df
     pairs = Stage(_prefix_pairs(Stage(_unsettled(members, comps), "open").df, texts, similarity), "pairs").df
-    comps = Stage(components(links.unionByName(_verified(pairs, texts, similarity))), "components").df
+    comps = _joined(comps, _verified(pairs, texts, similarity))
 
     named = rows.join(same.withColumnRenamed("node", "rep"), ["k1", "k2"], "left").withColumn("node", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("ord")))
     named = named.select("ord", "node").join(comps, "node", "left").withColumn("class_id", F.coalesce("comp", "node"))

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from claimgraph.llm import components, neighbours, registry
+from claimgraph.llm import components, near_duplicates, neighbours, registry
+from claimgraph.llm.common import Stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,6 +19,26 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1} | {k: 4 for k in range(4, 10)} | {20: 20, 21: 20}
 
 
+def test_components_of_stars_take_no_round_and_of_a_path_few(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(components, "Stage", lambda df, name: made.append(name) or Stage(df, name))
+    table = lambda links: spark.createDataFrame(links, "a long, b long")
+    got = components.components(table([(1, 5), (7, 1), (1, 9), (1, 9), (3, 4), (2, 2)])).collect()
+    assert sorted(map(tuple, got)) == [(1, 1), (3, 3), (4, 3), (5, 1), (7, 1), (9, 1)] and len(made) == 1
+    assert components.components(table([])).count() == 0 and len(made) == 2
+    path = components.components(table([(i, i + 1) for i in range(64)])).collect()
+    assert sorted(map(tuple, path)) == [(i, 0) for i in range(65)] and len(made) < 12
+
+
+def test_components_joined_by_later_links(spark):
+    table = lambda rows, names: spark.createDataFrame(rows, names)
+    comps = table([(1, 1), (2, 1), (3, 3), (4, 3), (5, 5), (6, 5)], "node long, comp long")
+    links = [(4, 2), (9, 10), (10, 6), (1, 2), (20, 21)]
+    got = {r["node"]: r["comp"] for r in near_duplicates._joined(comps, table(links, "a long, b long")).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 5, 10: 5, 20: 20, 21: 20}
+    assert near_duplicates._joined(comps, table([], "a long, b long")).count() == 6
+
+
 def test_neighbours_find_what_brute_force_finds(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((700, 24)).astype(np.float32)
