@@ -260,7 +260,9 @@ def pack(
 ) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    pieces = Stage(pieces_of(docs, id_col, text_col, capacity, end_id, json_path, ranks_path), "pieces").df
+    pieces = pieces_of(docs, id_col, text_col, capacity, end_id, json_path, ranks_path)
+    # A hundredth of the input: one file a core at most, not one a split of the input; Spark splits those beyond its advisory size.
+    pieces = Stage(pieces.hint("rebalance", spark.sparkContext.defaultParallelism), "pieces").df
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     full, shorter = pieces.filter(F.col("length") == capacity), pieces.filter(F.col("length") < capacity)
     # A full piece is a sequence of its own. The pieces are a written table, so that a task that runs again numbers them alike.

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimgraph.llm import chat, decontaminate, htmltext, katz, language, near_duplicates, packing, substrings, toxicity
+from claimgraph.llm.common import Stage
 
 SF = "/root/testdata/sf0.1"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, id string, hits string, t string, node string, rank string"
@@ -97,6 +98,17 @@ def test_packing_round_trip(spark, odd_rows):
     assert [n for _, n in packing.cut(130, 64)] == [2, 64, 64] and packing.cut(64, 64) == [(0, 64)]
 
 
+def test_packing_writes_few_files_of_pieces(spark, odd_rows, monkeypatch):
+    pytest.importorskip("public_tokenizers")
+    made = []
+    monkeypatch.setattr(packing, "Stage", lambda *a: made.append(Stage(*a)) or made[-1])
+    docs = frame(spark, odd_rows).repartition(40)
+    out = packing.pack(docs, capacity=64)
+    assert len(made) == 1 and len(made[0].df.inputFiles()) <= spark.sparkContext.defaultParallelism < docs.rdd.getNumPartitions()
+    assert out.drop("sequence_id", "offset").exceptAll(made[0].df.withColumnRenamed("id", "doc_id")).count() == 0
+    assert out.count() == made[0].df.count() and out.filter("piece = 0").count() == len(odd_rows)
+
+
 def test_packing_plans_are_whole_and_search_helps():
     better = 0
     for seed in range(20):
