@@ -277,3 +277,33 @@ def test_lists_merge_the_same_however_batches_cut_them(spark):
                 assert batch < 10000 or r["fresh"] == [want[i][k] for _, k in near]
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_neighbours_ask_the_driver_for_little(spark, monkeypatch):
+    """Rounds take their figures from what they write: each job costs the driver a plan, threads and a 4 MB block or more."""
+    written, seen = [], []
+
+    class Listed(neighbours.Stage):
+        def __init__(self, df, name):
+            super().__init__(df, name)
+            written.append(self.path)
+            seen.append(os.listdir(self.path))
+
+    monkeypatch.setattr(neighbours, "Stage", Listed)
+    x = np.random.default_rng(12).standard_normal((900, 16)).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)], "vec_id long, embedding array<float>")
+    jobs = lambda: spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs()
+    before = jobs()
+    neighbours.nearest(table, table.filter("vec_id % 100 = 0").selectExpr("vec_id AS row"))
+    assert written and jobs() - before <= 4.5 * len(written)  # 5.3 a table before
+    assert not any("_SUCCESS" in files for files in seen)
+
+
+def test_repeated_ids_among_few_vectors(spark):
+    """A query's own rows are no candidates, however many; without enough others all are returned."""
+    rows = [(0, [1.0, 0.0])] * 3 + [(100, [0.0, 1.0]), (200, [2.0, 0.0]), (200, [2.0, 0.0]), (300, None)]
+    t = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got: dict = {}
+    for r in sorted(neighbours.nearest(t, t.filter("vec_id < 200 OR vec_id = 300").selectExpr("vec_id AS row")).collect()):
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert set(got) == {0, 100} and len(got[0]) == 3 and sorted(got[0]) == [100, 200, 200] and sorted(got[100]) == [0, 0, 0, 200, 200]
