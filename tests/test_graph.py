@@ -192,3 +192,55 @@ def test_greedy_match_takes_rows_once(spark):
     assert [(r["found_pos"], r["reversed"], r["triple"]) for r in got] == [(0, False, True), (None, False, False), (1, True, True)]
     rows = {r["level"]: r for r in evaluate.report(gold, found, evaluate.greedy_match(gold, found)).collect()}
     assert rows["pair"]["precision"] == 1.0 and rows["pair"]["recall"] == 0.667
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_walk_deals_no_edges_before_it_knows_whom_they_meet(spark):
+    """A loop and a repeated edge change nothing."""
+    from claimgraph.operators import graph
+
+    edges = spark.createDataFrame([("e1", "a", "b"), ("e2", "b", "c"), ("e3", "a", "a"), ("e4", "c", "d"), ("e1", "a", "b")], "id string, subject_id string, object_id string")
+    assert "Exchange" not in _plan(graph.steps(edges))
+    met, seen = graph.walk(edges, spark.createDataFrame([("a",)], "id string"), 2)
+    assert {tuple(r) for r in met.collect()} == {("e1", 1), ("e3", 1), ("e2", 2)} and met.count() == 3
+    assert {tuple(r) for r in seen.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+
+
+def test_scores_are_added_where_a_documents_postings_are(spark):
+    import re
+
+    from claimgraph.operators import lexical
+
+    docs = spark.createDataFrame([(1, "a b b"), (2, "b c"), (3, None)] + [(i, f"c d {i} " + "b " * (i % 50)) for i in range(4, 3000)], "id int, t string")
+    few = docs.filter("id < 4")
+    assert not re.search(r"hashpartitioning\(query_id#\d+, key#\d+", _plan(lexical.search(docs, "id", "t", spark.createDataFrame([(7, "b")], "query_id int, query string"))))
+    out = lexical.search(few, "id", "t", spark.createDataFrame([(7, "b"), (8, "a, c a")], "query_id int, query string"))
+    assert [(r.query_id, r["rank"], r.key) for r in out.orderBy("query_id", "rank").collect()] == [(7, 1, 1), (7, 2, 2), (8, 1, 2), (8, 2, 1)]
+
+
+def test_a_board_deals_ops_that_name_nothing_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from claimgraph.operators import review
+    from claimgraph.schemas import OPS
+
+    schema = spark.createDataFrame([], OPS).schema
+    row = lambda i: {"patch_id": f"p{i}", "op_id": f"o{i}", "op": "create_node", "confidence": 0.5, "rationale": "", "route": "review", "status": "pending", "temp_id": f"t{i}", "entity_type": "Agent", "props": {"name": f"N{i}"}}
+    ops = spark.createDataFrame([tuple(row(i).get(f.name) for f in schema) for i in range(400)], schema)
+    entities = spark.createDataFrame([("a", "A")], "id string, name string")
+    edges = spark.createDataFrame([("e", "p", "s", "o")], "id string, predicate string, subject string, object string")
+    held = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        out = review.board(ops, entities, edges)
+        got = out.groupBy(F.spark_partition_id()).count().collect()
+        assert out.filter("text = 'new entity: N7 (Agent)'").count() == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert len(got) > 1 and sum(r["count"] for r in got) == 400
